@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, quality
+from . import decontaminate, jaccard, line_dedup, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,10 +26,20 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_runs(table(spark, sf_dir, "documents")).drop("seq")
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_pairs(table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op8_ablations": op8_ablations,
     "op2_line_dedup": op2_line_dedup,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op4_decontamination": op4_decontamination,
 }
 
 _WORDS = r"regexp_extract_all(t, '[^ \t\r\n]+')"
@@ -53,6 +63,7 @@ m AS (
   FROM d),
 l AS (SELECT *, ({" + ".join(f"CASE WHEN {rule} THEN {quality.BITS[name]} ELSE 0 END" for name, rule in quality.RULES.items())})::BIGINT AS failed FROM m)
 """
+_TOKENS = r"regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _ABLATIONS = "\nUNION ALL\n".join(
     f"""SELECT '{v}' AS policy, '{r}' AS rule, count(*)::BIGINT AS documents,
       (count(*) FILTER (failed & {m} <> 0))::BIGINT AS rejected,
@@ -87,4 +98,43 @@ SELECT g.doc_id, s::INT AS start_line, e::INT AS end_line, (e - s + 1)::INT AS n
   sd AS source_doc_id, sl::INT AS source_line
 FROM g JOIN l ON l.doc_id = g.doc_id AND l.pos BETWEEN s AND e
 GROUP BY ALL HAVING sum(length(line)) >= {line_dedup.MIN_CHARS}""",
+    "op7_ngram_jaccard": f"""
+WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE text IS NOT NULL),
+g AS (
+  SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END)) AS grams
+  FROM t WHERE len(w) > 0),
+c AS (SELECT grams, min(doc_id) AS doc, list(doc_id) AS docs FROM g GROUP BY grams),
+e AS (SELECT doc, len(grams) AS n, unnest(grams) AS gram FROM c),
+p AS (
+  SELECT a.doc AS doc_a, b.doc AS doc_b, count(*) AS overlap, count(*) / (a.n + b.n - count(*)) AS jaccard
+  FROM e a JOIN e b ON a.gram = b.gram AND a.doc < b.doc GROUP BY a.doc, b.doc, a.n, b.n),
+s AS (SELECT doc AS doc_a, unnest(docs) AS doc_b, len(grams) AS overlap, 1.0::DOUBLE AS jaccard FROM c)
+SELECT doc_a, doc_b, overlap::BIGINT AS overlap, jaccard FROM p WHERE jaccard >= {jaccard.THRESHOLD}
+UNION ALL SELECT doc_a, doc_b, overlap::BIGINT, jaccard FROM s WHERE doc_b > doc_a""",
+    "op4_decontamination": f"""
+WITH dt AS (SELECT doc_id AS doc, unnest({_TOKENS}) AS term, generate_subscripts({_TOKENS}, 1) - 1 AS pos FROM documents),
+bt AS (SELECT item_id AS item, unnest({_TOKENS}) AS term, generate_subscripts({_TOKENS}, 1) - 1 AS off, len({_TOKENS}) AS len FROM benchmark
+  WHERE len({_TOKENS}) >= {decontaminate.MIN_TOKENS}),
+cf AS (SELECT term, (SELECT 0) + count(pos) AS cf FROM (SELECT DISTINCT term FROM bt) LEFT JOIN dt USING (term) GROUP BY term),
+placed AS (SELECT doc, item, pos - off AS base, off, len, term FROM dt JOIN bt USING (term)),
+runs AS (SELECT *, off - row_number() OVER (PARTITION BY doc, item, base ORDER BY off) AS run FROM placed),
+phrases AS (
+  SELECT item AS item_id, doc AS doc_id, 'phrase' AS kind, (base + min(off))::INT AS start, min(off)::INT AS item_start,
+    count(*)::INT AS n_matched, len::INT AS n_terms
+  FROM runs GROUP BY doc, item, base, run, len HAVING count(*) >= least({decontaminate.PHRASE}, len)),
+rare AS (
+  SELECT item, term, row_number() OVER (PARTITION BY item ORDER BY cf, at) AS rank
+  FROM (SELECT item, term, cf, min(off) AS at FROM bt JOIN cf USING (term) GROUP BY item, term, cf)
+  QUALIFY rank <= {decontaminate.RAREST}),
+sizes AS (SELECT item, count(*) AS of FROM rare GROUP BY item),
+close AS (
+  SELECT doc, item, base, count(DISTINCT term) OVER (PARTITION BY doc, item ORDER BY base RANGE BETWEEN CURRENT ROW AND {decontaminate.SLACK} FOLLOWING) AS n
+  FROM placed SEMI JOIN rare USING (item, term)),
+best AS (SELECT doc, item, of, max(struct_pack(n := n, back := -base)) AS best FROM close JOIN sizes USING (item)
+  WHERE n >= of * {decontaminate.SHARE} GROUP BY doc, item, of)
+SELECT * FROM phrases
+UNION ALL
+SELECT item, doc, 'proximity', greatest(-best.back, 0)::INT, 0::INT, best.n::INT, of::INT FROM best
+WHERE NOT EXISTS (SELECT 1 FROM phrases WHERE item_id = item AND doc_id = doc)""",
 }
