@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, line_dedup, quality
+from . import decontaminate, jaccard, line_dedup, mixing, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,12 +34,17 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op8_ablations": op8_ablations,
     "op2_line_dedup": op2_line_dedup,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op4_decontamination": op4_decontamination,
+    "op1_mixing": op1_mixing,
 }
 
 _WORDS = r"regexp_extract_all(t, '[^ \t\r\n]+')"
@@ -76,6 +81,42 @@ _ABLATIONS = "\nUNION ALL\n".join(
     if m & quality.BITS[r]
 )
 
+
+
+def mixing_sql(documents: str) -> str:
+    """The mix of a relation (doc_id, source, text) with the default parameters."""
+    hashed = lambda *x: f"('0x' || substr(md5(concat_ws(':', {', '.join(x)})), 1, 8))::BIGINT"
+    flat = lambda x: (
+        f"(-list_sum(list_transform(p, lambda q: pow(q, {x}) / z * ln(pow(q, {x}) / z))) > {mixing.TARGET_ENTROPY} * ln(len(p)) + 1e-12"
+        f" OR list_max(list_transform(p, lambda q: pow(q, {x}) / z / q)) > {mixing.MAX_REPEATS})"
+    )
+    return f"""
+WITH RECURSIVE n AS (
+  SELECT doc_id, source, len(regexp_extract_all(text, '[^ \\t\\r\\n]+'))::BIGINT AS n_tokens FROM ({documents})
+  WHERE len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) > 0),
+s AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM n GROUP BY source),
+p AS (SELECT list(tokens / (SELECT sum(tokens) FROM s) ORDER BY tokens) AS p FROM s),
+b(i, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN {flat("(low + high) / 2")} THEN (low + high) / 2 ELSE low END,
+    CASE WHEN {flat("(low + high) / 2")} THEN high ELSE (low + high) / 2 END
+  FROM (SELECT b.*, p.p, list_sum(list_transform(p.p, lambda q: pow(q, (low + high) / 2))) AS z FROM b, p WHERE i < {mixing.STEPS})),
+x AS (SELECT round(high, 6) AS x, (SELECT sum(tokens) FROM s)::BIGINT AS total FROM b WHERE i = {mixing.STEPS}),
+z AS (SELECT x, total, list_sum(list_transform(p.p, lambda q: pow(q, x))) AS z FROM x, p),
+w AS (SELECT source, tokens, total, round(pow(tokens / total, x) / z, 9) AS weight, floor(round(pow(tokens / total, x) / z, 9) * total)::BIGINT AS budget FROM s, z),
+k AS (SELECT greatest(1, ceil(sum(budget) / {float(mixing.BLOCK_TOKENS)}))::BIGINT AS blocks FROM w),
+d AS (
+  SELECT n.doc_id, n.source, n_tokens, weight, tokens, budget, unnest(range(0, ((budget - 1) // tokens + 1)::BIGINT)) AS epoch
+  FROM n JOIN w ON n.source IS NOT DISTINCT FROM w.source WHERE budget > 0),
+o AS (
+  SELECT *, epoch * tokens + coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch
+      ORDER BY {hashed(str(mixing.SEED), "epoch", "doc_id")}, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+  FROM d),
+f AS (SELECT *, floor(first::DOUBLE * blocks / budget)::BIGINT AS block FROM o, k WHERE first < budget)
+SELECT doc_id, source, n_tokens, weight, epoch::INT AS epoch, block, {hashed(str(mixing.SEED + 1), "block", "epoch", "doc_id")} AS place FROM f"""
+
+
 ORACLES: dict[str, str] = {
     "op8_quality_rules": _LEDGER + "SELECT *, " + ", ".join(f"failed & {m} = 0 AS keep_{v}" for v, m in quality.POLICIES.items()) + " FROM l",
     "op8_ablations": _LEDGER + _ABLATIONS,
@@ -124,17 +165,18 @@ phrases AS (
     count(*)::INT AS n_matched, len::INT AS n_terms
   FROM runs GROUP BY doc, item, base, run, len HAVING count(*) >= least({decontaminate.PHRASE}, len)),
 rare AS (
-  SELECT item, term, row_number() OVER (PARTITION BY item ORDER BY cf, at) AS rank
-  FROM (SELECT item, term, cf, min(off) AS at FROM bt JOIN cf USING (term) GROUP BY item, term, cf)
+  SELECT item, term, row_number() OVER (PARTITION BY item ORDER BY cf, place) AS rank
+  FROM (SELECT item, term, cf, min(off) AS place FROM bt JOIN cf USING (term) GROUP BY item, term, cf)
   QUALIFY rank <= {decontaminate.RAREST}),
-sizes AS (SELECT item, count(*) AS of FROM rare GROUP BY item),
+sizes AS (SELECT item, count(*) AS total FROM rare GROUP BY item),
 close AS (
   SELECT doc, item, base, count(DISTINCT term) OVER (PARTITION BY doc, item ORDER BY base RANGE BETWEEN CURRENT ROW AND {decontaminate.SLACK} FOLLOWING) AS n
   FROM placed SEMI JOIN rare USING (item, term)),
-best AS (SELECT doc, item, of, max(struct_pack(n := n, back := -base)) AS best FROM close JOIN sizes USING (item)
-  WHERE n >= of * {decontaminate.SHARE} GROUP BY doc, item, of)
+best AS (SELECT doc, item, total, max(struct_pack(n := n, back := -base)) AS best FROM close JOIN sizes USING (item)
+  WHERE n >= total * {decontaminate.SHARE} GROUP BY doc, item, total)
 SELECT * FROM phrases
 UNION ALL
-SELECT item, doc, 'proximity', greatest(-best.back, 0)::INT, 0::INT, best.n::INT, of::INT FROM best
+SELECT item, doc, 'proximity', greatest(-best.back, 0)::INT, 0::INT, best.n::INT, total::INT FROM best
 WHERE NOT EXISTS (SELECT 1 FROM phrases WHERE item_id = item AND doc_id = doc)""",
+    "op1_mixing": mixing_sql("SELECT doc_id, source, text FROM documents"),
 }
