@@ -10,59 +10,85 @@ threshold are the intervals of the suffix array whose longest common prefix
 reaches it.
 
 Positions are rows (doc_id, seq, pos): seq identifies the sequence.  Rows equal in all three are one position.
+Where there are very many, a position is one whole number instead, as Numbered says.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-POSITION = ("doc_id", "seq", "pos")
 
 
-def rerank(positions: DataFrame, key: list[str]) -> DataFrame:
-    """(doc_id, seq, pos, first) of the positions that share key with another position.
+class Named:
+    """Positions as (doc_id, seq, pos)."""
 
-    first is the least (doc_id, seq, pos) with that key.
-    """
-    here = F.struct(*POSITION)
+    columns = ("doc_id", "seq", "pos")
+    sequence = ("doc_id", "seq")
+    pos = "pos"
+
+    @staticmethod
+    def here() -> Column:
+        return F.struct("doc_id", "seq", "pos")
+
+
+class Numbered:
+    """Positions as one whole number `at` = sequence number * SPAN + position, in the order of the sequences."""
+
+    SPAN = 1 << 28
+    columns = ("at",)
+    sequence = ("sequence",)
+    pos = "at"
+
+    @staticmethod
+    def here() -> Column:
+        return F.col("at")
+
+
+def _with_sequence(positions: DataFrame, kind) -> DataFrame:
+    return positions.withColumn("sequence", F.shiftright("at", 28)) if kind is Numbered else positions
+
+
+def rerank(positions: DataFrame, key: list[str], kind=Named) -> DataFrame:
+    """The positions that share key with another position, and `first`, the least position with that key."""
     same = Window.partitionBy(*key)
     return (
-        positions.withColumn("first", F.min(here).over(same))
-        .withColumn("last", F.max(here).over(same))
+        positions.withColumn("first", F.min(kind.here()).over(same))
+        .withColumn("last", F.max(kind.here()).over(same))
         .where("first <> last")
-        .select(*POSITION, "first")
+        .select(*kind.columns, "first")
     )
 
 
-def double(positions: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Ranks at `threshold` from ranks at `size`: both are (doc_id, seq, pos, first) without lone positions."""
+def double(positions: DataFrame, size: int, threshold: int, kind=Named) -> DataFrame:
+    """Ranks (position, first) at `threshold` from those at `size`, both without lone positions."""
     while size < threshold:
         step = min(size, threshold - size)
-        ahead = Window.partitionBy("doc_id", "seq").orderBy("pos").rangeBetween(step, step)
-        pairs = positions.withColumn("then", F.min("first").over(ahead)).where("then IS NOT NULL")
-        positions = rerank(pairs, ["first", "then"])
+        ahead = Window.partitionBy(*kind.sequence).orderBy(kind.pos).rangeBetween(step, step)
+        pairs = _with_sequence(positions, kind).withColumn("then", F.min("first").over(ahead)).where("then IS NOT NULL")
+        positions = rerank(pairs.select(*kind.columns, "first", "then"), ["first", "then"], kind)
         size += step
     return positions
 
 
-def later_runs(positions: DataFrame, threshold: int) -> DataFrame:
-    """(doc_id, seq, start, end, first): maximal stretches of items, end included, that lie within later copies.
+def later_runs(positions: DataFrame, threshold: int, kind=Named) -> DataFrame:
+    """(sequence, start, end, first): maximal stretches of items, end included, that lie within later copies.
 
     A stretch joins windows of `threshold` items that overlap or touch; first
-    is the earliest copy of its first window.
+    is the earliest copy of its first window.  With Numbered, start and end are numbers as well.
     """
-    in_doc = Window.partitionBy("doc_id", "seq").orderBy("pos")
-    opens = F.coalesce(F.col("pos") > F.lag("pos").over(in_doc) + threshold, F.lit(True))
+    in_doc = Window.partitionBy(*kind.sequence).orderBy(kind.pos)
+    opens = F.coalesce(F.col(kind.pos) > F.lag(kind.pos).over(in_doc) + threshold, F.lit(True))
+    pos = positions.schema[kind.pos].dataType
     return (
-        positions.where(F.struct(*POSITION) != F.col("first"))
+        _with_sequence(positions.where(kind.here() != F.col("first")), kind)
         .withColumn("run", F.sum(opens.cast("int")).over(in_doc))
-        .groupBy("doc_id", "seq", "run")
+        .groupBy(*kind.sequence, "run")
         .agg(
-            F.min("pos").alias("start"),
-            (F.max("pos") + (threshold - 1)).cast("int").alias("end"),
-            F.min_by("first", "pos").alias("first"),
+            F.min(kind.pos).alias("start"),
+            (F.max(kind.pos) + (threshold - 1)).cast(pos).alias("end"),
+            F.min_by("first", kind.pos).alias("first"),
         )
         .drop("run")
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, line_dedup, mixing, quality
+from . import decontaminate, jaccard, line_dedup, mixing, passage_dedup, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("seq")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op8_ablations": op8_ablations,
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op4_decontamination": op4_decontamination,
     "op1_mixing": op1_mixing,
+    "op6_suffix_array": op6_suffix_array,
 }
 
 _WORDS = r"regexp_extract_all(t, '[^ \t\r\n]+')"
@@ -179,4 +184,18 @@ UNION ALL
 SELECT item, doc, 'proximity', greatest(-best.back, 0)::INT, 0::INT, best.n::INT, total::INT FROM best
 WHERE NOT EXISTS (SELECT 1 FROM phrases WHERE item_id = item AND doc_id = doc)""",
     "op1_mixing": mixing_sql("SELECT doc_id, source, text FROM documents"),
+    "op6_suffix_array": f"""
+WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+w AS (
+  SELECT doc_id, unnest(range(0, len(w) - {passage_dedup.THRESHOLD - 1})) AS pos,
+    unnest(list_transform(range(1, len(w) - {passage_dedup.THRESHOLD - 2}), lambda i: md5(array_to_string(w[i:i + {passage_dedup.THRESHOLD - 1}], ' ')))) AS gram
+  FROM t WHERE len(w) >= {passage_dedup.THRESHOLD}),
+f AS (SELECT doc_id, pos, first_value(doc_id) OVER same AS fd, first_value(pos) OVER same AS fp FROM w WINDOW same AS (PARTITION BY gram ORDER BY doc_id, pos)),
+c AS (
+  SELECT *, pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + {passage_dedup.THRESHOLD} AS opens
+  FROM f WHERE fd <> doc_id OR fp <> pos),
+r AS (SELECT *, sum(coalesce(opens, true)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c)
+SELECT doc_id, min(pos)::INT AS start_token, (max(pos) + {passage_dedup.THRESHOLD - 1})::INT AS end_token,
+  (max(pos) - min(pos) + {passage_dedup.THRESHOLD})::INT AS n_tokens, arg_min(fd, pos) AS source_doc_id, arg_min(fp, pos)::INT AS source_token
+FROM r GROUP BY doc_id, run""",
 }
