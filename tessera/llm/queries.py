@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard, line_dedup, mixing, passage_dedup, quality
+from . import decontaminate, jaccard, licenses, line_dedup, mixing, passage_dedup, pii, quality, token_counts, warc
+from .common import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,31 @@ def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("seq")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as WARC files with some damage, read back: a row for each recovered page and each gap."""
+    folder = shared_path(spark, "warc")
+    warc.write_pages(table(spark, sf_dir, "pages"), folder, damage=warc.wear).write.format("noop").mode("overwrite").save()
+    rows = warc.read_warc(spark, folder)
+    page = F.regexp_extract(F.col("headers")["warc-record-id"], r"^<urn:page:(-?\d+)>$", 1)
+    return rows.select(
+        F.regexp_extract("path", "[^/]+$", 0).alias("file"),
+        "kind", "offset", "length", page.try_cast("long").alias("page_id"),
+        F.col("headers")["warc-target-uri"].alias("url"), F.length(F.col("block").cast("string")).alias("n_chars"), "reason",
+    )
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op8_ablations": op8_ablations,
@@ -50,6 +76,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op1_mixing": op1_mixing,
     "op6_suffix_array": op6_suffix_array,
+    "op3_warc": op3_warc,
+    "op5_license_scan": op5_license_scan,
+    "op9_pii": op9_pii,
+    "op10_token_counts": op10_token_counts,
 }
 
 _WORDS = r"regexp_extract_all(t, '[^ \t\r\n]+')"
