@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 C, V = "[^aeiouy]", "[aeiouy]"
-M0, M1, M_ONE = f"^{C}*{V}+{C}+", f"^{C}*{V}+{C}+{V}+{C}", f"^{C}*{V}+{C}+{V}*$"
-CVC = f"{C}{V}[^aeiouywxY]$"
+M0, M1, M_ONE = f"^{C}*{V}+{C}+", f"^{C}*{V}+{C}+{V}+{C}", f"^{C}*{V}+{C}+{V}*\\z"
+CVC = f"{C}{V}[^aeiouywxY]\\z"
 STEP2 = dict(x.split(":") for x in (
     "ational:ate tional:tion enci:ence anci:ance izer:ize bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate "
     "alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble logi:log"
@@ -27,7 +27,7 @@ def _cut(w: Column, n: int) -> Column:
 
 def _suffix(w: Column, suffixes) -> tuple[Column, Column]:
     """Stem and suffix, the longest that matches; both empty without one."""
-    pattern = f"^(.*?)({'|'.join(suffixes)})$"
+    pattern = rf"(?s)^(.*?)({'|'.join(suffixes)})\z"
     return F.regexp_extract(w, pattern, 1), F.regexp_extract(w, pattern, 2)
 
 
@@ -43,20 +43,20 @@ def stem(df: DataFrame, term: str, out: str) -> DataFrame:
     df = df.withColumn(
         out, F.when(w.endswith("sses"), _cut(w, 2)).when(w.endswith("ies"), _cut(w, 2)).when(w.endswith("s") & ~w.endswith("ss"), _cut(w, 1)).otherwise(w)
     )
-    bare = F.regexp_replace(w, "(?:ed|ing)$", "")
-    removed = ~w.endswith("eed") & w.rlike("(?:ed|ing)$") & bare.rlike(V)
+    bare = F.regexp_replace(w, r"(?:ed|ing)\z", "")
+    removed = ~w.endswith("eed") & w.rlike(r"(?:ed|ing)\z") & bare.rlike(V)
     df = df.withColumn(out, F.when(w.endswith("eed"), F.when(_cut(w, 3).rlike(M0), _cut(w, 1)).otherwise(w)).when(removed, F.concat(bare, F.lit("|"))).otherwise(w))
     rest = _cut(w, 1)
     fixed = (
-        F.when(rest.rlike("(?:at|bl|iz)$"), F.concat(rest, F.lit("e")))
-        .when(rest.rlike(r"(?:([^aeiouyY~])\1|[yY]Y)$"), F.when(rest.rlike("[lsz]$"), rest).otherwise(_cut(rest, 1)))
+        F.when(rest.rlike(r"(?:at|bl|iz)\z"), F.concat(rest, F.lit("e")))
+        .when(rest.rlike(r"(?:([^aeiouyY~])\1|[yY]Y)\z"), F.when(rest.rlike(r"[lsz]\z"), rest).otherwise(_cut(rest, 1)))
         .when(rest.rlike(M_ONE) & rest.rlike(CVC), F.concat(rest, F.lit("e")))
         .otherwise(rest)
     )
     df = df.withColumn(out, F.when(w.endswith("|"), fixed).otherwise(w))
 
     # a word of which one letter is left is done: a sentinel keeps the further steps away
-    df = df.withColumn(out, F.when(F.length(w) == 1, F.concat(w, F.lit("|"))).when(w.rlike("[yY]$") & _cut(w, 1).rlike(V), F.concat(_cut(w, 1), F.lit("i"))).otherwise(w))
+    df = df.withColumn(out, F.when(F.length(w) == 1, F.concat(w, F.lit("|"))).when(w.rlike(r"[yY]\z") & _cut(w, 1).rlike(V), F.concat(_cut(w, 1), F.lit("i"))).otherwise(w))
     for table in (STEP2, STEP3):
         a, b = _suffix(w, table)
         new = F.concat(a, F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), b))

@@ -52,21 +52,16 @@ def is_tuple(term: Column) -> Column:
     return term.startswith("#")
 
 
-def weighted(tokens: Column) -> Column:
-    """array<struct<pos,term,weight>> of an array of tokens.
+def weighted(text: Column) -> Column:
+    """array<struct<pos,term,weight>> of the tokens between white space, in one pass.
 
     A token #!n!# is no token: it sets the weight of all that follow, until the next; at first it
     is 1.  n may have a sign, and what follows its digits is ignored; without digits it is an error.
+    Null texts have null.
     """
-    number = lambda t: F.regexp_extract(t, r"^#!([+-]?[0-9]+).*!#$", 1).cast("int")
-    marker = lambda t: t.startswith("#!") & t.endswith("!#") & (F.length(t) >= 5)
-    kind = "array<struct<pos:int,term:string,weight:int>>"
-
-    def step(acc: Column, t: Column) -> Column:
-        entry = F.array(F.struct(F.size(acc["out"]).alias("pos"), t.alias("term"), acc["w"].alias("weight")))
-        return F.when(marker(t), F.struct(number(t).alias("w"), acc["out"].alias("out"))).otherwise(
-            F.struct(acc["w"].alias("w"), F.concat(acc["out"], entry).alias("out"))
-        )
-
-    start = F.struct(F.lit(1).alias("w"), F.array().cast(kind).alias("out"))
-    return F.aggregate(tokens, start, step, lambda acc: acc["out"])
+    mark = r"(?<![^ \t\r\n])#!([^ \t\r\n]+)!#(?![^ \t\r\n])"
+    number = lambda inner: F.regexp_extract(inner, "^([+-]?[0-9]+)", 1).cast("int")
+    weights = F.concat(F.array(F.lit(1)), F.transform(F.regexp_extract_all(text, F.lit(mark), F.lit(1)), number))
+    parts = F.arrays_zip(F.split(text, mark).alias("part"), weights.alias("weight"))
+    tokens = F.flatten(F.transform(parts, lambda p: F.transform(raw_tokens(p["part"]), lambda t: F.struct(t.alias("term"), p["weight"].alias("weight")))))
+    return F.transform(tokens, lambda t, i: F.struct(i.alias("pos"), t["term"].alias("term"), t["weight"].alias("weight")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import porter
 from ..functions import text as X
+from ..functions.shared import staged
 
 
 def word_list(lines: DataFrame, column: str = "value", stem: bool = True) -> DataFrame:
@@ -23,7 +24,8 @@ def word_list(lines: DataFrame, column: str = "value", stem: bool = True) -> Dat
 def stem_terms(terms: DataFrame) -> DataFrame:
     """terms with `term` stemmed by way of the distinct terms; math tuples stay as they are."""
     distinct = terms.where(~X.is_tuple(F.col("term"))).select(F.col("term").alias("plain")).distinct()
-    stems = porter.stem(distinct, "plain", "stem")
+    # stored: a condition on the stem would otherwise be pushed through all steps, and grow with each
+    stems = staged(porter.stem(distinct, "plain", "stem"), "stems")
     joined = terms.join(stems, F.col("term") == F.col("plain"), "left")
     return joined.withColumn("term", F.coalesce("stem", "term")).drop("plain", "stem")
 

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .numbering import dense_ids
+
 
 def vbyte_size(value: Column) -> Column:
     """Bytes of a whole number >= 0 in groups of seven bits."""
@@ -24,15 +26,32 @@ def vbyte(value: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.lpad(F.hex(digit(i) + F.when(i < n - 1, 128).otherwise(0)), 2, "0")), "")
 
 
+def from_vbyte(code: Column) -> Column:
+    """The number of hexadecimal bytes as vbyte() makes them."""
+    n = (F.length(code) / 2).cast("int")
+    byte = lambda i: F.conv(F.substring(code, i * 2 + 1, F.lit(2)), 16, 10).cast("long")
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0).cast("long"), lambda v, i: v * 128 + byte(i).bitwiseAND(F.lit(127)))
+
+
+def pair(a: Column, b: Column) -> Column:
+    """Two numbers in one byte of two halves; a half of 15 stands for a vbyte of the rest after it, first a's."""
+    half = lambda x: F.hex(F.least(x, F.lit(15)))
+    rest = lambda x: F.when(x >= 15, vbyte(x - 15)).otherwise("")
+    return F.concat(half(a), half(b), rest(a), rest(b))
+
+
 def gaps(postings: DataFrame) -> DataFrame:
-    """(term, docid, tf, gap): gap is the docid less the term's one before, the docid itself for the first."""
+    """(term, at, tf, gap): gap is the docid less the term's one before, the docid itself for the first; at counts a term's list from 1.
+
+    A term's list is one sorted window partition, which spills where it does not fit in memory.
+    """
     by_term = Window.partitionBy("term").orderBy("docid")
-    return postings.withColumn("gap", F.col("docid") - F.lag("docid", 1, 0).over(by_term)).select("term", "docid", "tf", "gap")
+    return postings.select("term", F.row_number().over(by_term).alias("at"), "tf", (F.col("docid") - F.lag("docid", 1, 0).over(by_term)).alias("gap"))
 
 
-def from_gaps(delta: DataFrame, order: str = "docid") -> DataFrame:
-    """(term, docid, tf) from gaps, in the order given."""
-    running = Window.partitionBy("term").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+def from_gaps(delta: DataFrame) -> DataFrame:
+    """(term, docid, tf) from gaps."""
+    running = Window.partitionBy("term").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     return delta.select("term", F.sum("gap").over(running).alias("docid"), "tf")
 
 
@@ -47,25 +66,13 @@ def front_coded(terms: DataFrame, group: int = 16, ranges: int | None = None) ->
     """(ordinal, term, shared, rest) of distinct terms(term) in byte order.
 
     The first of every `group` terms is whole, the others share `shared` characters with the one
-    before.  Ordinals count from 0; ranges are sorted apart, and each continues where the one before ends.
+    before.  Ordinals count from 0.
     """
-    spark = terms.sparkSession
-    ranged = terms.repartitionByRange(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), "term").withColumn("range", F.spark_partition_id())
-    within = Window.partitionBy("range").orderBy("term")
-    numbered = ranged.withColumn("at", F.row_number().over(within) - 1)
-    sizes = numbered.groupBy("range").agg(F.count(F.lit(1)).alias("size"), F.max("term").alias("last"))
-    order = Window.orderBy("range")  # one row per range
-    starts = sizes.select(
-        "range",
-        (F.sum("size").over(order) - F.col("size")).alias("start"),
-        F.lag("last").over(order).alias("carried"),
-    )
-    joined = numbered.join(F.broadcast(starts), "range")
-    ordinal = (F.col("start") + F.col("at")).cast("long")
-    previous = F.coalesce(F.lag("term").over(within), F.col("carried"))
-    return joined.select(ordinal.alias("ordinal"), "term", previous.alias("previous")).select(
-        "ordinal", "term", F.when((F.col("ordinal") % group == 0) | F.col("previous").isNull(), F.lit(0)).otherwise(common_prefix(F.col("previous"), F.col("term"))).alias("shared")
-    ).withColumn("rest", F.expr("substring(term, shared + 1)"))
+    numbered = dense_ids(terms.select("term"), ["term"], "ordinal", ranges)
+    in_group = Window.partitionBy(F.floor(F.col("ordinal") / group)).orderBy("ordinal")
+    previous = F.lag("term").over(in_group)
+    shared = F.when(F.col("previous").isNull(), F.lit(0)).otherwise(common_prefix(F.col("previous"), F.col("term")))
+    return numbered.withColumn("previous", previous).select("ordinal", "term", shared.alias("shared")).withColumn("rest", F.expr("substring(term, shared + 1)"))
 
 
 def common_prefix(a: Column, b: Column) -> Column:

@@ -7,9 +7,10 @@ in the postings, so that scoring needs no join with docs.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -22,7 +23,8 @@ class Index(NamedTuple):
     stats: DataFrame
 
 
-def _index(docs: DataFrame, postings: DataFrame) -> Index:
+def index_of(docs: DataFrame, postings: DataFrame) -> Index:
+    """An index with dictionary and stats made from docs and postings."""
     dictionary = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = docs.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total"), (F.coalesce(F.max("docid"), F.lit(-1)) + 1).alias("next_id")
@@ -35,62 +37,53 @@ def build(docs: DataFrame, docid: str = "docid", docname: str = "docname", conte
 
     Documents whose weights do not add up to more than zero are left out and not counted.
     """
-    tokens = docs.select(F.col(docid).alias("docid"), F.col(docname).alias("docname"), X.weighted(X.raw_tokens(F.col(content))).alias("tokens"))
+    tokens = docs.select(F.col(docid).alias("docid"), F.col(docname).alias("docname"), X.weighted(F.col(content)).alias("tokens"))
     dl = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, t: s + t["weight"])
     sized = tokens.withColumn("dl", dl).where("dl > 0")
     terms = sized.select("docid", "dl", F.explode("tokens").alias("t"))
     postings = terms.groupBy(F.col("t.term").alias("term"), "docid", "dl").agg(F.sum("t.weight").alias("tf"))
-    return _index(sized.select("docid", "docname", "dl"), postings.select("term", "docid", "tf", "dl"))
+    return index_of(sized.select("docid", "docname", "dl"), postings.select("term", "docid", "tf", "dl"))
 
 
-def from_tokens(tokens: DataFrame, docs: DataFrame) -> Index:
-    """An index of analysed tokens (docid, term) with weight 1; docs(docid, docname)."""
-    tf = tokens.groupBy("docid", "term").agg(F.count(F.lit(1)).alias("tf"))
-    sizes = tf.groupBy("docid").agg(F.sum("tf").alias("dl"))
-    return _index(docs.join(sizes, "docid").select("docid", "docname", "dl"), tf.join(sizes, "docid").select("term", "docid", "tf", "dl"))
+def build_for(docs: DataFrame, terms: DataFrame, tokens: Column, docid: str = "docid", docname: str = "docname") -> Index:
+    """An index that holds the postings of terms(term, as) only, for searching a collection once.
+
+    tokens gives each document's array of tokens; those equal to a `term` are indexed as its `as`, which may be
+    a stem or the term itself.  Sizes count all tokens.  Only occurrences of these terms are shuffled.
+    """
+    sized = docs.select(F.col(docid).alias("docid"), F.col(docname).alias("docname"), tokens.alias("tokens")).withColumn("dl", F.size("tokens").cast("long")).where("dl > 0")
+    found = sized.select("docid", "dl", F.explode("tokens").alias("token")).join(terms, F.col("token") == F.col("term"))
+    postings = found.groupBy(F.col("as").alias("term"), "docid", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "docid", "tf", "dl")
+    return index_of(sized.select("docid", "docname", "dl"), postings)
 
 
 def merge(*indexes: Index) -> Index:
     """One index of several segments: docids move on by the ids that earlier segments use.  Names are not made unique."""
-    bases = []
-    base = F.lit(0).cast("long")
-    docs, postings = [], []
-    spark = indexes[0].docs.sparkSession
-    for i, x in enumerate(indexes):
-        bases.append(x.stats.select(F.lit(i).alias("segment"), "next_id"))
-        docs.append(x.docs.withColumn("segment", F.lit(i)))
-        postings.append(x.postings.withColumn("segment", F.lit(i)))
-    starts = {0: 0}
-    total = 0
-    for i, x in enumerate(indexes[:-1]):  # one number per segment
-        total += x.stats.first()["next_id"]
-        starts[i + 1] = total
-    table = spark.createDataFrame(list(starts.items()), "segment int, base long")
-    base = F.broadcast(table)
-
-    def shifted(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out.join(base, "segment").withColumn("docid", F.col("docid") + F.col("base")).drop("segment", "base")
-
-    return _index(shifted(docs), shifted(postings))
-
-
-def write(index: Index, path: str, kind: str = "text") -> None:
-    """Tables under path.  Postings are sorted by term with a bloom filter on it, so a lookup reads few row groups."""
+    docs, postings, base = [], [], 0
+    for x in indexes:
+        shift = F.lit(base).cast("long")
+        docs.append(x.docs.withColumn("docid", F.col("docid") + shift))
+        postings.append(x.postings.withColumn("docid", F.col("docid") + shift))
+        base += x.stats.first()["next_id"]  # one number per segment
+    union = lambda parts: reduce(DataFrame.unionByName, parts)
+    return index_of(union(docs), union(postings))
+
+
+def write(index: Index, path: str, kind: str = "text", mode: str = "error") -> None:
+    """Tables under path; mode is that of a DataFrame's writer.  Postings are sorted by term with a bloom filter on it, so a lookup reads few row groups."""
     spark = index.docs.sparkSession
-    index.docs.repartitionByRange("docid").sortWithinPartitions("docid").write.parquet(f"{path}/docs")
+    index.docs.repartitionByRange("docid").sortWithinPartitions("docid").write.mode(mode).parquet(f"{path}/docs")
     (
         index.postings.repartitionByRange("term", "docid")
         .sortWithinPartitions("term", "docid")
-        .write.option("parquet.bloom.filter.enabled#term", "true")
+        .write.mode(mode)
+        .option("parquet.bloom.filter.enabled#term", "true")
         .parquet(f"{path}/postings")
     )
     stored = spark.read.parquet(f"{path}/postings")
-    _index(index.docs, stored).dictionary.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/dictionary")
-    stats = _index(spark.read.parquet(f"{path}/docs"), stored).stats
-    stats.withColumn("kind", F.lit(kind)).coalesce(1).write.parquet(f"{path}/stats")
+    index_of(index.docs, stored).dictionary.repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/dictionary")
+    stats = index_of(spark.read.parquet(f"{path}/docs"), stored).stats
+    stats.withColumn("kind", F.lit(kind)).coalesce(1).write.mode(mode).parquet(f"{path}/stats")
 
 
 def load(spark: SparkSession, path: str, kind: str | None = None) -> Index:
@@ -104,11 +97,17 @@ def load(spark: SparkSession, path: str, kind: str | None = None) -> Index:
     return Index(docs, postings, dictionary, stats.drop("kind"))
 
 
-def term_df(index: Index, terms: list[str]) -> DataFrame:
-    """(term, df) of the terms that the index has."""
-    return index.dictionary.where(F.col("term").isin(terms))
+def term_df(index: Index, terms: DataFrame) -> DataFrame:
+    """(term, df) of each of terms(term); -1 for terms that the index does not have."""
+    return terms.select("term").join(index.dictionary, "term", "left").select("term", F.coalesce("df", F.lit(-1)).alias("df"))
+
+
+def docs_by_id(index: Index, ids: DataFrame) -> DataFrame:
+    """(docid, docname, dl) of the documents whose numbers are in ids(docid); unknown numbers have none."""
+    return index.docs.join(ids.select("docid"), "docid", "left_semi")
 
 
-def doc_by_id(index: Index, ids: list[int]) -> DataFrame:
-    """(docid, docname, dl) by number."""
-    return index.docs.where(F.col("docid").isin(ids))
+def sizes(index: Index) -> DataFrame:
+    """(documents, terms, postings, tokens) of an index."""
+    terms = index.dictionary.agg(F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
+    return index.stats.select(F.col("n").alias("documents"), F.col("total").alias("tokens")).crossJoin(terms).select("documents", "terms", "postings", "tokens")

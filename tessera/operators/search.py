@@ -18,7 +18,7 @@ def query_weights(queries: DataFrame, math: bool = False, alpha: float = 0.18) -
     Weights are scaled to a mean of 1 over all the query's tokens, known or not, and saturate.
     With math, tuples count alpha and words 1 - alpha.  A query whose weights add up to 0 has no terms.
     """
-    tokens = queries.select("qid", F.explode(X.weighted(X.raw_tokens(F.col("query")))).alias("t")).select("qid", "t.term", "t.weight")
+    tokens = queries.select("qid", F.explode(X.weighted(F.col("query"))).alias("t")).select("qid", "t.term", "t.weight")
     return token_weights(tokens, math, alpha)
 
 

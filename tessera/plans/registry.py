@@ -1,4 +1,465 @@
-"""Registered queries and their DuckDB counterparts."""
+"""Registered queries over the supplied tables, and their DuckDB counterparts."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import porter
+from ..functions import text as X
+from ..functions.shared import shared_path, small, staged
+from ..operators import analyze, codecs, extract, index, search
+from ..operators.numbering import dense_ids
+from ..sources import results, trec
+from ..streaming import ingest
+from . import oracle as O
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+STOPWORDS = "the of and to in is la de le der die und y el que"
+KEYWORDS = "tion ing ent the est and ver sch que with ción oubling relation"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents under the names of the index: docid and docname."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("docid"), F.concat(F.lit("doc"), F.col("doc_id")).alias("docname"), "text", "source")
+
+
+def _words_of(column: str, math: bool = False) -> Column:
+    return F.coalesce(X.words(F.col(column), math), F.array().cast("array<string>"))
+
+
+def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select(F.explode(X.words(F.col("text"))).alias("term")).distinct()
+
+
+def _index(spark: SparkSession, sf_dir: str) -> index.Index:
+    """documents, folded but not stemmed, as an index of whole content."""
+    docs = _documents(spark, sf_dir).withColumn("content", F.array_join(X.words(F.col("text")), " "))
+    return index.build(docs)
+
+
+# --- projections ---
+
+
+@query(f"SELECT page_id, {O.stripped('html')} AS content FROM pages")
+def strip_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", X.strip_markup(F.col("html")).alias("content"))
+
+
+@query(f"SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest({O.words('text')}) AS term FROM documents) GROUP BY ALL")
+def tokenize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.words(F.col("text"))).alias("term"))
+    return tokens.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+_MATH_SQL = "text || ' #(' || source || ')# x#(lost)# #{' || lang || '}#' || chr(10) || '#!3!# #()# #(a b)# #(' || lang || ',' || source || ')#'"
+
+
+def _with_math() -> Column:
+    return F.concat("text", F.lit(" #("), "source", F.lit(")# x#(lost)# #{"), "lang", F.lit("}#\n#!3!# #()# #(a b)# #("), "lang", F.lit(","), "source", F.lit(")#"))
+
+
+@query(f"SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest({O.math_words('m')}) AS term FROM (SELECT doc_id, {_MATH_SQL} AS m FROM documents)) GROUP BY ALL")
+def tokenize_math(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = table(spark, sf_dir, "documents").select("doc_id", F.explode(X.words(_with_math(), math=True)).alias("term"))
+    return tokens.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+_VOCABULARY = f"SELECT DISTINCT unnest({O.words('text')}) AS term FROM documents"
+
+
+@query(O.stems(_VOCABULARY))
+def stem_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return porter.stem(_vocabulary(spark, sf_dir), "term", "stem")
+
+
+@query(f"SELECT term, strlen(term)::INT AS bytes, (md5(term))::VARCHAR AS digest FROM ({_VOCABULARY}) WHERE regexp_matches(term, '[^\\x00-\\x7F]')")
+def non_ascii_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only A-Z are folded and bytes above 127 are letters: the terms with such."""
+    return _vocabulary(spark, sf_dir).where(F.octet_length("term") > F.length("term")).select("term", F.octet_length("term").alias("bytes"), F.md5("term").alias("digest"))
+
+
+# --- filters ---
+
+
+def _list(spark: SparkSession, words: str) -> DataFrame:
+    return spark.createDataFrame([(words,)], "value string")
+
+
+_LIST = lambda words: O.stems(f"SELECT DISTINCT unnest({O.words(repr(words))}) AS term")
+_STEMMED = f"""
+WITH t AS (SELECT doc_id, generate_subscripts({O.words('text')}, 1) - 1 AS pos, unnest({O.words('text')}) AS term FROM documents),
+s AS MATERIALIZED ({O.stems('SELECT DISTINCT term FROM t')}),
+a AS (SELECT doc_id, pos, stem AS term FROM t JOIN s USING (term))
+"""
+
+
+@query(_STEMMED + f"SELECT doc_id, pos::INT AS pos, term FROM a WHERE term NOT IN (SELECT stem FROM ({_LIST(STOPWORDS)}))")
+def stopword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stop = analyze.word_list(_list(spark, STOPWORDS))
+    return analyze.Analyzer(stopwords=stop).tokens(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(_STEMMED + f"SELECT doc_id, pos::INT AS pos, term FROM a WHERE term NOT IN (SELECT unnest({O.words(repr(STOPWORDS))}))")
+def stopword_filter_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list isn't stemmed, the tokens are."""
+    stop = analyze.word_list(_list(spark, STOPWORDS), stem=False)
+    return analyze.Analyzer(stopwords=stop).tokens(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(
+    f"WITH t AS (SELECT doc_id, generate_subscripts({O.math_words('m')}, 1) - 1 AS pos, unnest({O.math_words('m')}) AS term FROM (SELECT doc_id, {_MATH_SQL} AS m FROM documents)), "
+    f"s AS MATERIALIZED ({O.stems('SELECT DISTINCT term FROM t WHERE term[1] <> chr(35)')}), k AS (SELECT stem FROM ({_LIST(KEYWORDS)})) "
+    "SELECT doc_id, pos::INT AS pos, coalesce(stem, term) AS term FROM t LEFT JOIN s USING (term) WHERE term[1] = chr(35) OR stem IN (SELECT stem FROM k)"
+)
+def keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keep = analyze.word_list(_list(spark, KEYWORDS))
+    docs = table(spark, sf_dir, "documents").select("doc_id", _with_math().alias("m"))
+    return analyze.Analyzer(math=True, keywords=keep).tokens(docs, "doc_id", "m")
+
+
+@query(f"SELECT conv_id, turn, array_to_string({O.words('text')}, ' ') AS line FROM conversations")
+def token_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(X.words(F.col("text")), " ").alias("line"))
+
+
+@query(
+    f"WITH t AS (SELECT doc_id, generate_subscripts({O.words('text')}, 1) AS pos, unnest({O.words('text')}) AS term FROM documents), s AS MATERIALIZED ({O.stems('SELECT DISTINCT term FROM t')}), "
+    "l AS (SELECT doc_id, string_agg(stem, ' ' ORDER BY pos) AS line FROM t JOIN s USING (term) GROUP BY doc_id) SELECT doc_id, coalesce(line, '') AS line FROM documents LEFT JOIN l USING (doc_id)"
+)
+def stemmed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analyze.Analyzer().lines(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query("SELECT d.doc_id, d.text FROM documents d WHERE 'lib_' || doc_id IN (SELECT 'lib_' || doc_id FROM labels WHERE toxic = 0)")
+def extract_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat(F.lit("lib_"), "doc_id").alias("docname"))
+    names = table(spark, sf_dir, "labels").where("toxic = 0").select(F.concat(F.lit("lib_"), "doc_id"))
+    return extract.extract(docs, names).select("doc_id", "text")
+
+
+@query("SELECT d.doc_id, source || '_x_' || doc_id AS docname FROM documents d WHERE doc_id IN (SELECT doc_id FROM labels)")
+def extract_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("_", "source", F.lit("x"), "doc_id").alias("docname"))
+    return extract.extract(docs, table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string")), suffix=True).select("doc_id", "docname")
+
+
+# --- index ---
+
+_TF = f"SELECT doc_id AS docid, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest({O.words('text')}) AS term FROM documents) GROUP BY ALL"
+
+
+@query(f"SELECT doc_id AS docid, 'doc' || doc_id AS docname, len({O.words('text')})::BIGINT AS dl FROM documents WHERE len({O.words('text')}) > 0")
+def doc_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).docs
+
+
+@query(
+    f"WITH t AS ({_TF}) SELECT count(DISTINCT docid)::BIGINT AS documents, count(DISTINCT term)::BIGINT AS terms, count(*)::BIGINT AS postings, sum(tf)::BIGINT AS tokens FROM t"
+)
+def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.sizes(_index(spark, sf_dir))
+
+
+@query(f"SELECT df, term FROM (SELECT term, count(*)::BIGINT AS df FROM ({_TF}) GROUP BY term)")
+def dictionary_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _index(spark, sf_dir).dictionary.select("df", "term").orderBy("term")
+
+
+@query(f"SELECT docid, term, tf FROM ({_TF})")
+def index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of an index that was written and loaded again."""
+    path = shared_path(spark, "index")
+    index.write(_index(spark, sf_dir), path)
+    return index.load(spark, path, "text").postings.select("docid", "term", "tf")
+
+
+_ROLE_SQL = "CASE role WHEN 'user' THEN '#!3!# ' WHEN 'assistant' THEN 'start #!2!# ' ELSE '' END || text || ' #!1!# end'"
+
+
+@query(
+    rf"""WITH t AS (SELECT conv_id, turn, generate_subscripts({O.raw_tokens(_ROLE_SQL)}, 1) AS pos, unnest({O.raw_tokens(_ROLE_SQL)}) AS tok FROM conversations),
+w AS (SELECT *, try_cast(regexp_extract(tok, '^#!([+-]?[0-9]+).*!#$', 1) AS INT) AS mark FROM t),
+r AS (SELECT *, coalesce(last_value(mark IGNORE NULLS) OVER (PARTITION BY conv_id, turn ORDER BY pos), 1) AS weight FROM w)
+SELECT conv_id, turn, tok AS term, sum(weight)::BIGINT AS tf FROM r WHERE mark IS NULL GROUP BY ALL"""
+)
+def weighted_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = F.concat(F.when(F.col("role") == "user", F.lit("#!3!# ")).when(F.col("role") == "assistant", F.lit("start #!2!# ")).otherwise(""), "text", F.lit(" #!1!# end"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(X.weighted(marked)).alias("t"))
+    return rows.groupBy("conv_id", "turn", F.col("t.term").alias("term")).agg(F.sum("t.weight").alias("tf"))
+
+
+@query(f"SELECT term, count(*)::BIGINT AS df, string_agg(docid || ':' || tf, ' ' ORDER BY docid) AS postings FROM ({_TF}) GROUP BY term")
+def postings_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.packed(_index(spark, sf_dir).postings)
+
+
+@query(f"SELECT term, docid - lag(docid, 1, 0) OVER w AS gap, tf, (row_number() OVER w)::INT AS at FROM ({_TF}) WINDOW w AS (PARTITION BY term ORDER BY docid)")
+def postings_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.gaps(_index(spark, sf_dir).postings)
+
+
+@query(f"SELECT term, docid, tf FROM ({_TF})")
+def postings_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.from_gaps(codecs.gaps(_index(spark, sf_dir).postings))
+
+
+_SEVENS = lambda v: f"(CASE WHEN {v} < 128 THEN 1 WHEN {v} < 16384 THEN 2 WHEN {v} < 2097152 THEN 3 WHEN {v} < 268435456 THEN 4 ELSE 5 END)"
+
+
+@query(
+    f"WITH g AS (SELECT term, docid - lag(docid, 1, 0) OVER (PARTITION BY term ORDER BY docid) AS gap, tf FROM ({_TF})) "
+    f"SELECT term, sum({_SEVENS('gap')} + {_SEVENS('tf')})::BIGINT AS bytes FROM g GROUP BY term"
+)
+def vbyte_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = codecs.gaps(_index(spark, sf_dir).postings).select("term", (codecs.vbyte_size(F.col("gap")) + codecs.vbyte_size(F.col("tf"))).alias("n"))
+    return sized.groupBy("term").agg(F.sum("n").alias("bytes"))
+
+
+_HEX = lambda v: f"(CASE WHEN {v} < 128 THEN printf('%02X', {v}) WHEN {v} < 16384 THEN printf('%02X%02X', ({v} >> 7) | 128, {v} & 127) WHEN {v} < 2097152 THEN printf('%02X%02X%02X', ({v} >> 14) | 128, (({v} >> 7) & 127) | 128, {v} & 127) ELSE printf('%02X%02X%02X%02X', ({v} >> 21) | 128, (({v} >> 14) & 127) | 128, (({v} >> 7) & 127) | 128, {v} & 127) END)"
+
+
+@query(f"SELECT doc_id, {_HEX('n_chars')} AS code, n_chars AS decoded, {_HEX('doc_id')} AS id_code FROM documents")
+def vbyte_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", codecs.vbyte(F.col("n_chars")).alias("code"), codecs.vbyte(F.col("doc_id")).alias("id_code"))
+    return docs.select("doc_id", "code", codecs.from_vbyte(F.col("code")).alias("decoded"), "id_code")
+
+
+_FRONT = f"""SELECT ordinal, term, shared, substr(term, shared + 1) AS rest FROM (
+  SELECT ordinal, term, CASE WHEN ordinal % 16 = 0 THEN 0 ELSE coalesce(list_min(list_filter(range(1, least(length(term), length(before)) + 1), lambda i: term[i] <> before[i])) - 1, least(length(term), length(before))) END::INT AS shared
+  FROM (SELECT term, row_number() OVER (ORDER BY term) - 1 AS ordinal, lag(term) OVER (ORDER BY term) AS before FROM ({_VOCABULARY})))"""
+
+
+@query(_FRONT)
+def front_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.front_coded(_vocabulary(spark, sf_dir))
+
+
+@query(f"SELECT (row_number() OVER (ORDER BY term) - 1)::BIGINT AS ordinal, term FROM ({_VOCABULARY})")
+def front_coding_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codecs.from_front_coded(codecs.front_coded(_vocabulary(spark, sf_dir)).drop("term"))
+
+
+@query(
+    f"WITH f AS ({_FRONT}), h AS (SELECT ordinal, shared AS a, strlen(rest) AS b FROM f) SELECT ordinal, "
+    f"printf('%X%X', least(a, 15), least(b, 15)) || CASE WHEN a >= 15 THEN {_HEX('(a - 15)')} ELSE '' END || CASE WHEN b >= 15 THEN {_HEX('(b - 15)')} ELSE '' END AS code FROM h"
+)
+def front_coding_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two lengths of each front-coded term in packed form."""
+    coded = codecs.front_coded(_vocabulary(spark, sf_dir))
+    return coded.select("ordinal", codecs.pair(F.col("shared"), F.octet_length("rest")).alias("code"))
+
+
+@query(
+    f"SELECT docid, 'doc' || docid AS docname, dl FROM (SELECT doc_id AS docid, len({O.words('text')})::BIGINT AS dl FROM documents) WHERE dl > 0 AND docid IN (SELECT doc_id FROM labels WHERE quality = 1)"
+)
+def lookup_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("docid"))
+    return index.docs_by_id(_index(spark, sf_dir), ids)
+
+
+@query(
+    f"SELECT term, coalesce(df, -1)::BIGINT AS df FROM (SELECT DISTINCT unnest({O.words('text')}) AS term FROM benchmark UNION SELECT 'qqunseenqq') LEFT JOIN (SELECT term, count(*) AS df FROM ({_TF}) GROUP BY term) USING (term)"
+)
+def lookup_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "benchmark").select(F.explode(X.words(F.col("text"))).alias("term"))
+    asked = asked.union(spark.createDataFrame([("qqunseenqq",)], "term string")).distinct()
+    return index.term_df(_index(spark, sf_dir), asked)
+
+
+def _segment(docs: DataFrame) -> index.Index:
+    return index.build(dense_ids(docs.where(F.size(X.words(F.col("text"))) > 0), ["doc_no"]).withColumn("content", F.array_join(X.words(F.col("text")), " ")))
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {O.words('text')} AS w, lang = 'en' AS en FROM documents),
+n AS (SELECT doc_id, w, (row_number() OVER (ORDER BY coalesce(en, false) DESC, doc_id) - 1)::BIGINT AS docid FROM d WHERE len(w) > 0)
+SELECT docid, 'doc' || doc_id AS docname, term, count(*)::BIGINT AS tf FROM (SELECT docid, doc_id, unnest(w) AS term FROM n) GROUP BY ALL"""
+)
+def merge_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two segments, English documents and all others, each with ids from 0, as one index."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_no"), F.concat(F.lit("doc"), "doc_id").alias("docname"), "text", F.coalesce(F.col("lang") == "en", F.lit(False)).alias("en"))
+    merged = index.merge(_segment(docs.where("en")), _segment(docs.where("NOT en")))
+    return merged.postings.join(merged.docs.select("docid", "docname"), "docid").select("docid", "docname", "term", "tf")
+
+
+@query(f"SELECT docid, term, tf FROM ({_TF})")
+def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents indexed by micro-batches of files, one segment each."""
+    folder = shared_path(spark, "stream")
+    _documents(spark, sf_dir).repartition(4, "docid").write.parquet(f"{folder}/in")
+    schema = T.StructType.fromDDL("docid long, docname string, text string, source string")
+    stream = ingest.document_stream(spark, f"{folder}/in", schema, files_per_batch=2)
+    ingest.write_segments(stream.withColumn("content", F.array_join(X.words(F.col("text")), " ")), folder).awaitTermination()
+    return ingest.load_segments(spark, folder).postings.select("docid", "term", "tf")
+
+
+# --- sources and sinks ---
+
+
+@query(rf"SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS docid, 'doc' || doc_id AS docname, source AS header, chr(10) || text || chr(10) AS content FROM documents WHERE text IS NOT NULL")
+def trec_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents written in TREC markup, in order, and read again."""
+    path = shared_path(spark, "trec")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").orderBy("doc_id")
+    docs.select(trec.to_trec(F.concat(F.lit("doc"), "doc_id"), F.col("text"), F.col("source")).alias("value")).write.text(path)
+    return trec.read_trec(spark, path)
+
+
+@query(
+    f"""SELECT conv_id, qid, string_agg(t, ' ' ORDER BY turn) AS query FROM (
+SELECT conv_id, 'Q.' || conv_id AS qid, turn, {O.stripped("replace(text, chr(10), ' ')")} AS t FROM conversations) GROUP BY ALL"""
+)
+def topic_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a topic: a line that opens it, then its turns."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.translate("text", "\n", " ").alias("line"))
+    heads = turns.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("turn"), F.concat(F.lit('<Query topic="old"> Query topic="Q.'), "conv_id", F.lit('" x')).alias("line"))
+    return trec.topics(heads.unionByName(turns), "conv_id", "turn", "line", X.strip_markup).select("conv_id", "qid", "query")
+
+
+@query(
+    """WITH q AS (SELECT conv_id, turn, role || CASE WHEN turn % 2 = 0 THEN ';' ELSE ' a;' END || text AS line FROM conversations)
+SELECT conv_id, turn, substr(line, 1, instr(line, ';') - 1) AS search_name, substr(line, instr(line, ';') + 1) AS search_terms,
+  CASE WHEN instr(line, ' ') = 0 OR instr(line, ';') < instr(line, ' ') THEN substr(line, 1, instr(line, ';') - 1) END AS token_name,
+  CASE WHEN instr(line, ' ') = 0 OR instr(line, ';') < instr(line, ' ') THEN substr(line, instr(line, ';') + 1) ELSE line END AS token_terms FROM q"""
+)
+def query_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("role", F.when(F.col("turn") % 2 == 0, ";").otherwise(" a;"), "text").alias("line"))
+    a, b = analyze.query_parts(F.col("line")), analyze.query_parts(F.col("line"), spaces=False)
+    return lines.select("conv_id", "turn", a[0].alias("search_name"), a[1].alias("search_terms"), b[0].alias("token_name"), b[1].alias("token_terms"))
+
+
+# --- search ---
+
+
+def _queries(spark: SparkSession, sf_dir: str, line: Column | None = None) -> DataFrame:
+    """(qid, query): benchmark items, tokenised."""
+    items = table(spark, sf_dir, "benchmark")
+    return items.select(F.col("item_id").alias("qid"), (F.array_join(X.words(F.col("text")), " ") if line is None else line).alias("query"))
+
+
+def _once(spark: SparkSession, sf_dir: str, weights: DataFrame, k: int = 10, docs: DataFrame | None = None, tokens: Column | None = None) -> DataFrame:
+    """Search of a collection that has no index: only postings of the query's terms are made."""
+    weights = staged(weights, "weights")
+    terms = small(staged(weights.select("term", F.col("term").alias("as")).distinct(), "terms"))
+    made = index.build_for(docs if docs is not None else _documents(spark, sf_dir), terms, tokens if tokens is not None else _words_of("text"))
+    return search.rank(made, weights, k)
+
+
+_ASKED = f"SELECT item_id AS qid, unnest({O.words('text')}) AS term, 1 AS weight FROM benchmark"
+_SIZES = f"SELECT doc_id AS docid, len({O.words('text')})::BIGINT AS dl FROM documents WHERE len({O.words('text')}) > 0"
+_TOP = O.bm25(_TF, O.query_weights(_ASKED), sizes=_SIZES)
+
+
+@query(_TOP)
+def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, search.query_weights(_queries(spark, sf_dir)))
+
+
+@query(O.bm25(_TF, O.query_weights(_ASKED), 1, _SIZES))
+def bm25_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _once(spark, sf_dir, search.query_weights(_queries(spark, sf_dir)), 1)
+
+
+@query(_TOP)
+def bm25_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As bm25_top10, over an index in files."""
+    path = shared_path(spark, "index")
+    index.write(_index(spark, sf_dir), path)
+    return search.search(index.load(spark, path), _queries(spark, sf_dir))
+
+
+_HALVES = f"SELECT item_id AS qid, unnest({O.words('text')}) AS term, CASE WHEN generate_subscripts({O.words('text')}, 1) <= 5 THEN 1 ELSE 4 END AS weight FROM benchmark"
+
+
+@query(O.bm25(_TF, O.query_weights(_HALVES), sizes=_SIZES))
+def bm25_weighted_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From its sixth word on a query counts four times."""
+    w = X.words(F.col("text"))
+    line = F.array_join(F.concat(F.slice(w, 1, 5), F.array(F.lit("#!4!#")), F.slice(w, F.lit(6), F.greatest(F.size(w), F.lit(1)))), " ")
+    return _once(spark, sf_dir, search.query_weights(_queries(spark, sf_dir, line)))
+
+
+@query(O.bm25(_TF, O.query_weights(_ASKED + " UNION ALL SELECT item_id, unnest(['qqunseenqq', 'zzunseenzz']), 1 FROM benchmark"), sizes=_SIZES))
+def bm25_oov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknown terms score nothing but count in the weights' scale."""
+    line = F.concat(F.array_join(X.words(F.col("text")), " "), F.lit(" qqunseenqq zzunseenzz"))
+    return _once(spark, sf_dir, search.query_weights(_queries(spark, sf_dir, line)))
+
+
+@query(
+    O.bm25(
+        f"WITH t AS (SELECT doc_id, generate_subscripts(w, 1) AS pos, unnest(w) AS term, list_position(w, '#!3!#') AS mark FROM (SELECT doc_id, {O.math_words('m')} AS w FROM (SELECT doc_id, {_MATH_SQL} AS m FROM documents))) "
+        "SELECT doc_id AS docid, term, sum(CASE WHEN pos > mark THEN 3 ELSE 1 END)::BIGINT AS tf FROM t WHERE pos <> mark GROUP BY ALL",
+        O.query_weights(_ASKED + " UNION ALL SELECT item_id, unnest(['#(web)#', '#{en}#', '#(fr,web)#']), 1 FROM benchmark", 0.18),
+    )
+)
+def bm25_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tuples count 0.18, words 0.82; part of each document has triple weight."""
+    docs = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("docid"), F.col("doc_id").cast("string").alias("docname"), F.array_join(X.words(_with_math(), math=True), " ").alias("content")
+    )
+    line = F.concat(F.array_join(X.words(F.col("text")), " "), F.lit(" #(web)# #{en}# #(fr,web)#"))
+    return search.search(index.build(docs), _queries(spark, sf_dir, line), math=True)
+
+
+@query(
+    O.bm25(
+        f"WITH sv AS MATERIALIZED ({O.stems(_VOCABULARY)}) SELECT docid, stem AS term, sum(tf)::BIGINT AS tf FROM ({_TF}) JOIN sv USING (term) GROUP BY ALL",
+        O.query_weights(f"SELECT qid, stem AS term, weight FROM ({_ASKED}) JOIN ({O.stems(f'SELECT DISTINCT unnest({O.words("text")}) AS term FROM benchmark')}) USING (term)"),
+        sizes=_SIZES,
+    )
+)
+def bm25_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.explode(X.words(F.col("text"))).alias("term"))
+    weights = staged(search.token_weights(analyze.stem_terms(asked).withColumn("weight", F.lit(1))), "weights")
+    wanted = small(staged(weights.select("term").distinct(), "stems"))
+    # the words of the collection that have a stem asked for; no other word is looked at again
+    stems = staged(porter.stem(_vocabulary(spark, sf_dir), "term", "as"), "vocabulary")
+    terms = small(staged(stems.join(wanted.withColumnRenamed("term", "as"), "as", "left_semi").select("term", "as"), "terms"))
+    return search.rank(index.build_for(_documents(spark, sf_dir), terms, _words_of("text")), weights)
+
+
+_PAGE_WORDS = O.words(O.stripped("html"))
+
+
+@query(
+    O.bm25(
+        f"SELECT page_id AS docid, term, count(*)::BIGINT AS tf FROM (SELECT page_id, unnest({_PAGE_WORDS}) AS term FROM pages) GROUP BY ALL",
+        O.query_weights(_ASKED),
+    )
+)
+def bm25_stripped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("docid"), F.col("url").alias("docname"), X.words(X.strip_markup(F.col("html"))).alias("tokens"))
+    return _once(spark, sf_dir, search.query_weights(_queries(spark, sf_dir)), docs=pages, tokens=F.coalesce("tokens", F.array().cast("array<string>")))
+
+
+_EXACT = "score::DECIMAL(18, 6)"
+_LINE_SCORE = f"""rtrim(rtrim((CASE WHEN score < 0.0001 THEN printf('%.6g', score) WHEN score >= 10 THEN round({_EXACT}, 4)::VARCHAR WHEN score >= 1 THEN round({_EXACT}, 5)::VARCHAR ELSE {_EXACT}::VARCHAR END), '0'), '.')"""
+
+
+@query(f"SELECT qid || ' Q0 doc' || docid || ' ' || rank || ' ' || {_LINE_SCORE} || ' tessera' AS line, 'doc' || docid || chr(9) || rank || chr(9) || {_LINE_SCORE} AS plain FROM ({_TOP})")
+def result_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The results of bm25_top10 as lines of a run, and of the plain form without query name."""
+    found = bm25_top10(spark, sf_dir).withColumn("docname", F.concat(F.lit("doc"), "docid"))
+    q = [F.col(c) for c in ("qid", "docname", "rank", "score")]
+    return found.select(results.run_line(*q, "tessera").alias("line"), results.result_line(F.lit(None), *q[1:]).alias("plain"))
