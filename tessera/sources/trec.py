@@ -74,7 +74,7 @@ def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 def read_whole(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(file, content): each file as one document."""
-    return spark.read.option("wholetext", True).text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
+    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
 
 
 def read_queries(spark: SparkSession, paths: str | list[str]) -> DataFrame:
