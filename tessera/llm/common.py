@@ -1,51 +1,5 @@
 """Shared-folder tables and naming used by the corpus operators."""
 
-from __future__ import annotations
+from ..functions.shared import fresh, shared_dir, shared_path, staged
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which every executor shares.
-
-    Where it is unset, a local master gets a temporary folder of its own; any
-    other master is refused, as a machine-local folder would be lost with its machine.
-    """
-    conf = spark.sparkContext.getConf()
-    path = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="tessera-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: cuts lineage, and gives the planner exact sizes.
-
-    Meant for intermediate tables that are far smaller than the corpus.
-    """
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def fresh(df: DataFrame, base: str) -> str:
-    """A column name starting with base that df does not have, whatever the case of its letters."""
-    taken = {c.lower() for c in df.columns}
-    name = base
-    while name.lower() in taken:
-        name += "_"
-    return name
+__all__ = ["fresh", "shared_dir", "shared_path", "staged"]
