@@ -37,15 +37,16 @@ MEASURES = {
 }
 
 #: Bit i belongs to the i-th rule: name -> condition for failure over the measurements.
-#: Products of whole numbers, so that no verdict hangs on rounding.
+#: Products of whole numbers, so that no verdict hangs on rounding.  As a vocabulary grows with about the root of
+#: a text's length, few_distinct_words asks less of long texts.
 RULES = {
     "no_words": "n_words < 1",
-    "too_long": "n_words > 100000",
+    "too_long": "n_words > 1000000",
     "mean_word_length": "n_words >= 5 AND (n_letters < 2 * n_words OR n_letters > 15 * n_words)",
     "symbols": "n_words >= 5 AND n_symbols * 10 > n_characters",
     "upper_case": "n_letters >= 40 AND n_upper * 2 > n_letters",
     "pipes": "n_pipes >= 3 AND n_pipes * 4 > n_words",
-    "few_distinct_words": "n_words >= 20 AND n_distinct_words * 10 < n_words",
+    "few_distinct_words": "n_words >= 20 AND n_distinct_words * 10 < n_words AND n_distinct_words * n_distinct_words < 25 * n_words",
     "repeats_itself": "n_words >= 20 AND n_words <= 1000 AND n_distinct_words * 4 < n_words",
     "duplicate_lines": "n_lines >= 6 AND n_distinct_lines * 2 < n_lines",
     "digits": "n_characters >= 200 AND n_digits * 5 > n_characters",
