@@ -124,7 +124,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     put the item's beginning (where most terms agree; the first such place).
 
     Rows with a null id or text match nothing, nor do items of fewer than MIN_TOKENS tokens; repeated
-    rows count once.  Ties among rarest terms go to the one that comes first in the item.
+    rows count once, and rows with one id and different texts are searched together, as if laid over each other.  Ties among
+    rarest terms go to the one that comes first in the item.
     """
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("doc"), "text").distinct()
