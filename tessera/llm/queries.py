@@ -27,6 +27,11 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_runs(table(spark, sf_dir, "documents")).drop("seq")
 
 
+def op2_single_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op2_line_dedup, but a run may begin and end at one line; the least number of characters alone decides."""
+    return line_dedup.repeated_runs(table(spark, sf_dir, "documents"), min_lines=1).drop("seq")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_pairs(table(spark, sf_dir, "documents"))
 
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op8_ablations": op8_ablations,
     "op2_line_dedup": op2_line_dedup,
+    "op2_single_lines": op2_single_lines,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op4_decontamination": op4_decontamination,
     "op1_mixing": op1_mixing,
@@ -173,6 +179,24 @@ g AS (
 SELECT g.doc_id, s::INT AS start_line, e::INT AS end_line, (e - s + 1)::INT AS n_lines, sum(length(line))::INT AS n_chars,
   sd AS source_doc_id, sl::INT AS source_line
 FROM g JOIN l ON l.doc_id = g.doc_id AND l.pos BETWEEN s AND e
+GROUP BY ALL HAVING sum(length(line)) >= {line_dedup.MIN_CHARS}""",
+    "op2_single_lines": f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+  FROM documents),
+f AS (
+  SELECT doc_id, pos, first_value(doc_id) OVER same AS fd, first_value(pos) OVER same AS fp
+  FROM l WINDOW same AS (PARTITION BY line ORDER BY doc_id, pos)),
+c AS (
+  SELECT *, pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 1 AS opens
+  FROM f WHERE fd <> doc_id OR fp <> pos),
+r AS (SELECT *, sum(coalesce(opens, true)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c),
+g AS (
+  SELECT doc_id, run, min(pos) AS s, max(pos) AS e, arg_min(fd, pos) AS sd, arg_min(fp, pos) AS sl
+  FROM r GROUP BY doc_id, run)
+SELECT g.doc_id, s::INT AS start_line, e::INT AS end_line, (e - s + 1)::INT AS n_lines, sum(length(line))::INT AS n_chars,
+  sd AS source_doc_id, sl::INT AS source_line
+FROM g JOIN l ON l.doc_id = g.doc_id AND l.pos BETWEEN s AND e
 GROUP BY ALL HAVING sum(length(line)) >= {line_dedup.MIN_CHARS}""",
     "op7_ngram_jaccard": f"""
 WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE text IS NOT NULL),
