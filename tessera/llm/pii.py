@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 REACH = 60
 #: Spans of a lower score are not reported.
 MIN_SCORE = 0.5
+#: Longer spans, which only secrets are, have no shorter ends: what begins a refused key is refused as well.
+SHORTENED = 100
 
 
 def luhn(digits: str) -> bool:
@@ -65,6 +67,11 @@ def phone(value: str) -> bool:
     return 8 <= len(regex.sub(r"\D", "", value)) <= 15
 
 
+def national(value: str) -> bool:
+    """Of the ends that a phone number may have, the one by its country's fixed length, where that is known."""
+    return value.startswith("+1") and len(regex.sub(r"\D", "", value)) == 11
+
+
 def secret(value: str) -> bool:
     """A key of at least 20 characters of which no few make up the most."""
     key = regex.search(r"[A-Za-z0-9_\-/+]{20,}", value)
@@ -79,6 +86,8 @@ class Kind(NamedTuple):
     score: float
     plus: str
     minus: str
+    #: What of the valid ends of a span that is too long counts most, before its length.
+    likely: Callable[[str], bool] | None = None
 
 
 KINDS = (
@@ -88,7 +97,7 @@ KINDS = (
     Kind("card", r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]|\.[0-9])", card, 0.8, "card visa mastercard credit payment karte carte tarjeta", "order invoice isbn tracking"),
     Kind("us_ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", us_ssn, 0.6, "ssn social security", "part order"),
     Kind("ipv4", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])", ipv4, 0.7, "ip address host server client", "version release"),
-    Kind("phone", r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![\w-])|(?<![\w.+-])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])", phone, 0.7, "phone call tel mobile fax telefon", "order id"),
+    Kind("phone", r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![\w-])|(?<![\w.+-])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])", phone, 0.7, "phone call tel mobile fax telefon", "order id", national),
 )
 CONTEXT = 0.1
 #: True wherever one of KINDS proposes anything.
@@ -100,15 +109,38 @@ class Finder:
         self.min_score = min_score
         words = lambda s: regex.compile(r"(?i)(?<!\p{L})(?:" + "|".join(s.split()) + r")(?!\p{L})") if s else None
         self.kinds = [(k, regex.compile(k.pattern), words(k.plus), words(k.minus)) for k in kinds]
+        # what may not follow a span, for fullmatch() ignores it where the text is made to end
+        self.after = [regex.compile(k.pattern[k.pattern.rfind("(?!") :] if "(?!" in k.pattern else "") for k in kinds]
+
+    def spans(self, rank: int, text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        """Valid spans of a kind from left to right.
+
+        Where the longest span at a start is refused, its shorter ends are tried, then the
+        next start.  Of several valid shorter ends the likely one counts, then one that
+        leaves alone the spans of other kinds in taken, then the longest.
+        """
+        kind, pattern = self.kinds[rank][:2]
+        pos = 0
+        while m := pattern.search(text, pos):
+            a, b = m.span()
+            if kind.valid is not None and not kind.valid(m[0]):
+                ends = [
+                    e for e in range(b - 1, a, -1)
+                    if b - a <= SHORTENED and self.after[rank].match(text, e) and pattern.fullmatch(text, a, e) and kind.valid(text[a:e])
+                ]
+                if not ends:
+                    pos = a + 1
+                    continue
+                free = lambda e: all(e <= x or a >= y for x, y in taken)
+                b = max(ends, key=lambda e: (bool(kind.likely and kind.likely(text[a:e])), free(e), e))
+            yield a, b
+            pos = b
 
     def __call__(self, text: str) -> list[tuple[int, int, str, float]]:
         """(start, end, kind, score) without overlaps: the higher score stays, then the earlier kind, then the earlier span."""
         hits = []
-        for rank, (kind, pattern, plus, minus) in enumerate(self.kinds):
-            for m in pattern.finditer(text):
-                if kind.valid is not None and not kind.valid(m[0]):
-                    continue
-                a, b = m.span()
+        for rank, (kind, _, plus, minus) in enumerate(self.kinds):
+            for a, b in self.spans(rank, text, [(x, y) for _, _, x, y in hits]):
                 score = kind.score
                 near = text[max(0, a - REACH) : a] + " " + text[b : b + REACH]
                 score += CONTEXT * bool(plus and plus.search(near)) - 3 * CONTEXT * bool(minus and minus.search(near))
