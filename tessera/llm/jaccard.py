@@ -81,6 +81,11 @@ def overlap_needed(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray
     return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
 
 
+def sums(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set that, with its size, stand for its content."""
+    return tuple(np.add.reduceat(kernel.mix(x), starts).view(np.int64) for x in (h + _U(1), h ^ _U(0x5851F42D4C957F2D)))
+
+
 def _signatures(n: int, threshold: float):
     schema = pa.schema([("doc", pa.int64()), ("size", pa.int32()), ("sum1", pa.int64()), ("sum2", pa.int64()), ("keys", pa.list_(pa.int64())), ("bits", pa.binary())])
 
@@ -97,8 +102,7 @@ def _signatures(n: int, threshold: float):
                 for k in range(BANDS):
                     for r in range(ROWS):
                         keys[:, k] = kernel.mix(keys[:, k] + np.minimum.reduceat(h * _FACTORS[k * ROWS + r], starts) + _U(k + 1))
-                sum1 = np.add.reduceat(kernel.mix(h + _U(1)), starts)
-                sum2 = np.add.reduceat(kernel.mix(h ^ _U(0x5851F42D4C957F2D)), starts)
+                sum1, sum2 = sums(h, starts)
                 bands = size_band(size[some], threshold)
                 width = {b: bitmap_bits(int(b), threshold) for b in np.unique(bands)}
                 maps = [bitmap(h[at[r] : at[r + 1]], width[b]) for r, b in zip(some, bands)]
@@ -106,8 +110,8 @@ def _signatures(n: int, threshold: float):
                     [
                         ids.take(pa.array(some + first)),
                         pa.array(size[some].astype(np.int32)),
-                        pa.array(sum1.view(np.int64)),
-                        pa.array(sum2.view(np.int64)),
+                        pa.array(sum1),
+                        pa.array(sum2),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel())),
                         pa.array(maps, pa.binary()),
                     ],
@@ -123,7 +127,7 @@ def _tile_pairs(threshold: float):
     def run(tile: pd.DataFrame) -> pd.DataFrame:
         band = int(tile["band"].iloc[0])
         bits = bitmap_bits(band, threshold)
-        docs, sizes = tile["doc"].to_numpy(), tile["size"].to_numpy().astype(np.int64)
+        numbers, sizes = tile["number"].to_numpy(), tile["size"].to_numpy().astype(np.int64)
         own = size_band(sizes, threshold) == band
         maps = np.zeros((len(tile), bits // 64), _U)
         for i, raw in enumerate(tile["bits"]):
@@ -134,12 +138,12 @@ def _tile_pairs(threshold: float):
         for i in np.flatnonzero(own):
             for j0 in range(0, len(tile), step):
                 j = slice(j0, min(len(tile), j0 + step))
-                ok = (docs[j] > docs[i]) | ~own[j]
+                ok = (numbers[j] > numbers[i]) | ~own[j]
                 bound = (sizes[i] + sizes[j] - np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64)) // 2
                 ok &= np.minimum(bound, np.minimum(sizes[i], sizes[j])) >= overlap_needed(sizes[i], sizes[j], threshold)
                 hit = np.flatnonzero(ok) + j0
-                left.append(np.minimum(docs[i], docs[hit]))
-                right.append(np.maximum(docs[i], docs[hit]))
+                left.append(np.minimum(numbers[i], numbers[hit]))
+                right.append(np.maximum(numbers[i], numbers[hit]))
         if not left:
             return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
@@ -151,9 +155,15 @@ def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, h, at in gram_sets(batch.column(1), n):
-                rows = len(at) - 1
-                values = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, rows), values], names=["doc", "grams"])
+                some = np.flatnonzero(np.diff(at))
+                if not len(some):
+                    continue
+                sum1, sum2 = sums(h, at[some])
+                values = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))).take(pa.array(some))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(some + first)), pa.array(np.diff(at)[some].astype(np.int32)), pa.array(sum1), pa.array(sum2), values],
+                    names=["doc", "size", "sum1", "sum2", "grams"],
+                )
 
     return run
 
@@ -162,7 +172,8 @@ def _settle(threshold: float):
     """Exact overlaps of the pairs of one block."""
 
     def run(pairs: pd.DataFrame, sets: pd.DataFrame) -> pd.DataFrame:
-        grams = {d: g.view(_U) for d, g in zip(sets["doc"], sets["grams"])}
+        grams = {c: g.view(_U) for c, g in zip(sets["number"], sets["grams"])}
+        docs = dict(zip(sets["number"], sets["doc"]))
         out = []
         for a, b in zip(pairs["a"], pairs["b"]):
             x, y = grams[a], grams[b]
@@ -172,8 +183,8 @@ def _settle(threshold: float):
             at[at == len(y)] = 0
             overlap = int((y[at] == x).sum())
             union = len(x) + len(y) - overlap
-            if overlap >= threshold * union - 1e-9:
-                out.append((a, b, overlap, overlap / union))
+            if overlap >= threshold * union - 1e-9 and docs[a] != docs[b]:
+                out.append((min(docs[a], docs[b]), max(docs[a], docs[b]), overlap, overlap / union))
         return pd.DataFrame(out, columns=["doc_a", "doc_b", "overlap", "jaccard"])
 
     return run
@@ -189,7 +200,8 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
 
     Rows with null doc_id, and texts that are null or without tokens, are in no pair; texts of fewer
     than n tokens are compared as one gram.  Rows with the same doc_id and
-    the same content are one document; where its texts differ, the doc_id stands for each, and is not paired with itself.
+    the same content are one document; where its texts differ, the doc_id stands for each, with a row for each pair of
+    contents, and is not paired with itself.
     """
     spark = docs.sparkSession
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
@@ -198,7 +210,7 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
     members = staged(
         signed.groupBy("size", "sum1", "sum2").agg(
             F.min("doc").alias("doc"), F.array_sort(F.collect_set("doc")).alias("docs"), F.first("keys").alias("keys"), F.first("bits").alias("bits")
-        ),
+        ).withColumn("number", F.monotonically_increasing_id()),
         "contents",
     )
     copies = members.where("size(docs) > 1").select(
@@ -207,35 +219,35 @@ def similar_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) ->
 
     band = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(threshold)) + F.lit(1e-9)).cast("int")
     tiles = (
-        members.select("doc", "size", band.alias("own"), "keys")
-        .select("doc", "size", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("band"), "keys")
-        .select("doc", "band", F.explode("keys").alias("key"))
+        members.select("number", "size", band.alias("own"), "keys")
+        .select("number", "size", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("band"), "keys")
+        .select("number", "band", F.explode("keys").alias("key"))
     )
-    shared = tiles.groupBy("band", "key").agg(F.collect_set("doc").alias("docs")).where("size(docs) > 1")
-    #: Many keys hold the same documents: one of these tiles is enough.
-    shared = shared.select("band", F.array_sort("docs").alias("docs")).distinct()
-    shared = shared.select(F.xxhash64("band", "docs").alias("tile"), "band", F.explode("docs").alias("doc"))
-    tiled = shared.join(members.select("doc", "size", "bits"), "doc")
+    shared = tiles.groupBy("band", "key").agg(F.collect_set("number").alias("numbers")).where("size(numbers) > 1")
+    #: Many keys hold the same contents: one of these tiles is enough.
+    shared = shared.select("band", F.array_sort("numbers").alias("numbers")).distinct()
+    shared = shared.select(F.xxhash64("band", "numbers").alias("tile"), "band", F.explode("numbers").alias("number"))
+    tiled = shared.join(members.select("number", "size", "bits"), "number")
     pairs = staged(tiled.groupBy("band", "tile").applyInPandas(_tile_pairs(threshold), "a long, b long").where("a <> b").distinct(), "pairs")
 
-    label = pairs.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("label"))
+    label = pairs.groupBy(F.col("b").alias("number")).agg(F.min("a").alias("label"))
     spread = label.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    place = label.join(spread, "label").select("doc", "label", F.pmod(F.hash("doc"), F.ceil(F.col("n") / BLOCK).cast("int")).alias("part"))
-    side = lambda x: place.select(F.col("doc").alias(x), F.struct("label", "part").alias(f"{x}_at"))
+    place = label.join(spread, "label").select("number", "label", F.pmod(F.hash("number"), F.ceil(F.col("n") / BLOCK).cast("int")).alias("part"))
+    side = lambda x: place.select(F.col("number").alias(x), F.struct("label", "part").alias(f"{x}_at"))
     home = lambda x: F.coalesce(F.col(f"{x}_at"), F.struct(F.col(x).alias("label"), F.lit(0).alias("part")))
     blocked = (
         pairs.join(side("a"), "a", "left")
         .join(side("b"), "b", "left")
         .select("a", "b", F.xxhash64(home("a"), home("b")).alias("block"))
     )
-    sent = blocked.select("block", F.explode(F.array("a", "b")).alias("doc")).distinct()
-    needed = staged(sent, "blocks")
+    sent = blocked.select("block", F.explode(F.array("a", "b")).alias("number")).distinct()
+    needed = staged(sent.join(members.select("number", "doc", "size", "sum1", "sum2"), "number"), "blocks")
     ids = needed.select("doc").distinct()
     wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = texts.join(wanted, "doc", "left_semi").mapInArrow(_sets(n), "doc long, grams array<long>")
+    sets = texts.join(wanted, "doc", "left_semi").mapInArrow(_sets(n), "doc long, size int, sum1 long, sum2 long, grams array<long>")
     settled = (
         blocked.groupBy("block")
-        .cogroup(needed.join(sets, "doc").groupBy("block"))
+        .cogroup(needed.join(sets, ["doc", "size", "sum1", "sum2"]).select("block", "number", "doc", "grams").groupBy("block"))
         .applyInPandas(_settle(threshold), "doc_a long, doc_b long, overlap long, jaccard double")
     )
     return settled.unionByName(copies)
