@@ -49,9 +49,12 @@ def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as WARC files with some damage, read back: a row for each recovered page and each gap."""
+    """All pages as WARC files with some damage, one in eight of them plain, read back: a row for each recovered page and each gap."""
     folder = shared_path(spark, "warc")
-    warc.write_pages(table(spark, sf_dir, "pages"), folder, damage=warc.wear).write.format("noop").mode("overwrite").save()
+    plain = F.col("page_id") % 8 == 0
+    for compress, part, size in ((True, ~plain, 500), (False, plain, 4000)):
+        pages = table(spark, sf_dir, "pages").where(part)
+        warc.write_pages(pages, folder, size, warc.wear, compress).write.format("noop").mode("overwrite").save()
     rows = warc.read_warc(spark, folder)
     page = F.regexp_extract(F.col("headers")["warc-record-id"], r"^<urn:page:(-?\d+)>$", 1)
     return rows.select(

@@ -7,6 +7,7 @@ version line that begins a valid record, goes on there, and reports the bytes be
 Checks: the member inflates and its CRC and length agree; the version line,
 header lines and Content-Length are well formed; the block is as long as stated
 and ends in two line ends; WARC-Block-Digest, if it is SHA-1, agrees.
+What follows a record says nothing about it.
 
 Compressed files are split: a split reads the records that begin in it, and
 finds the first of them as the reader finds one after a gap.  Plain files are read by one
@@ -148,8 +149,6 @@ def plain(view: View, at: int) -> tuple[dict[str, str], bytes, int]:
     end = at + head + 4 + n + 4
     if n > MAX_RECORD or end > view.size or view.get(end - 4, 4) != b"\r\n\r\n":
         raise Broken("content length differs")
-    if end < view.size and view.get(end, len(VERSION)) != VERSION and not fields.get("warc-block-digest"):
-        raise Broken("content length differs")
     block = view.get(at + head + 4, n)
     check_digest(fields, block)
     return fields, block, end
