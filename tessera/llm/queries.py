@@ -33,7 +33,7 @@ def op2_single_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar_pairs(table(spark, sf_dir, "documents"))
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,19 +202,24 @@ SELECT g.doc_id, s::INT AS start_line, e::INT AS end_line, (e - s + 1)::INT AS n
 FROM g JOIN l ON l.doc_id = g.doc_id AND l.pos BETWEEN s AND e
 GROUP BY ALL HAVING sum(length(line)) >= {line_dedup.MIN_CHARS}""",
     "op7_ngram_jaccard": f"""
-WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE text IS NOT NULL),
+WITH RECURSIVE t AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE text IS NOT NULL),
 g AS (
   SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END)) AS grams
   FROM t WHERE len(w) > 0),
 c AS (SELECT grams, min(doc_id) AS doc, list(doc_id) AS docs FROM g GROUP BY grams),
-e AS (SELECT doc, len(grams) AS n, unnest(grams) AS gram FROM c),
+e AS (SELECT doc, len(grams) AS n, len(docs) AS docs, unnest(grams) AS gram FROM c),
 p AS (
-  SELECT a.doc AS doc_a, b.doc AS doc_b, count(*) AS overlap, count(*) / (a.n + b.n - count(*)) AS jaccard
-  FROM e a JOIN e b ON a.gram = b.gram AND a.doc < b.doc GROUP BY a.doc, b.doc, a.n, b.n),
-s AS (SELECT doc AS doc_a, unnest(docs) AS doc_b, len(grams) AS overlap, 1.0::DOUBLE AS jaccard FROM c)
-SELECT doc_a, doc_b, overlap::BIGINT AS overlap, jaccard FROM p WHERE jaccard >= {jaccard.THRESHOLD}
-UNION ALL SELECT doc_a, doc_b, overlap::BIGINT, jaccard FROM s WHERE doc_b > doc_a""",
+  SELECT a.doc AS x, b.doc AS y, a.docs AS nx, b.docs AS ny
+  FROM e a JOIN e b ON a.gram = b.gram AND a.doc < b.doc GROUP BY a.doc, b.doc, a.n, b.n, a.docs, b.docs
+  HAVING count(*) / (a.n + b.n - count(*)) >= {jaccard.THRESHOLD}),
+l AS (SELECT x AS doc, y AS other, ny AS docs FROM p UNION ALL SELECT y, x, nx FROM p),
+reach AS (SELECT doc AS a, doc AS b FROM l UNION SELECT reach.a, l.other FROM reach JOIN l ON reach.b = l.doc),
+class AS (SELECT a AS doc, min(b) AS class_id FROM reach GROUP BY a),
+links AS (SELECT doc, sum(docs) AS n FROM l GROUP BY doc),
+m AS (SELECT doc, unnest(docs) AS doc_id, len(docs) AS copies FROM c)
+SELECT doc_id, coalesce(class_id, doc) AS class_id, (copies - 1 + coalesce(n, 0))::BIGINT AS n_links
+FROM m LEFT JOIN class USING (doc) LEFT JOIN links USING (doc) WHERE copies > 1 OR n IS NOT NULL""",
     "op4_decontamination": f"""
 WITH dt AS (SELECT doc_id AS doc, unnest({_TOKENS}) AS term, generate_subscripts({_TOKENS}, 1) - 1 AS pos FROM documents),
 bt AS (SELECT item_id AS item, unnest({_TOKENS}) AS term, generate_subscripts({_TOKENS}, 1) - 1 AS off, len({_TOKENS}) AS len FROM benchmark

@@ -109,44 +109,81 @@ def gram_set(text, n=3):
     return {tuple(w)} if 0 < len(w) < n else {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
-def test_pairs_of_small_sets(spark):
-    """Texts of every size from one token on, with edits; nothing at 0.5 or above may be missed but by the stated chance."""
-    rng, texts = random.Random(11), []
-    for g in range(60):
-        base = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(1, 90))]
-        for _ in range(rng.randrange(1, 5)):
+def linked(texts, n=3, threshold=0.5):
+    """(doc, least doc of its class, links) of every document that is similar to another, by all pairs."""
+    sets = {d: gram_set(t, n) for d, t in texts if t and gram_set(t, n)}
+    pairs = [(a, b) for a, b in combinations(sorted(sets), 2) if len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9]
+    least, links = {d: d for d in sets}, defaultdict(int)
+    for _ in sets:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    return sorted((d, least[d], links[d]) for d in links)
+
+
+def edited(seed, groups=60, most=5, vocabulary=4000):
+    """Texts of every size from one token on, copied with edits from none to more than the threshold bears."""
+    rng, texts = random.Random(seed), []
+    for _ in range(groups):
+        base = [f"w{rng.randrange(vocabulary)}" for _ in range(rng.randrange(1, 90))]
+        for _ in range(rng.randrange(1, most)):
             copy = list(base)
             for _ in range(rng.randrange(0, max(2, len(base) // 8))):
-                copy[rng.randrange(len(copy))] = f"w{rng.randrange(4000)}"
+                copy[rng.randrange(len(copy))] = f"w{rng.randrange(vocabulary)}"
             texts.append((len(texts), " ".join(copy)))
-    got = {(r.doc_a, r.doc_b): r for r in jaccard.similar_pairs(spark.createDataFrame(texts, DOCS)).collect()}
-    sets = {d: gram_set(t) for d, t in texts}
-    least = {}
-    for d, _ in texts:
-        least.setdefault(frozenset(sets[d]), d)
-    want = {}
-    for a, b in combinations(range(len(texts)), 2):
-        overlap = len(sets[a] & sets[b])
-        j = overlap / len(sets[a] | sets[b])
-        same = sets[a] == sets[b]
-        if j >= 0.5 and (least[frozenset(sets[a])] == a and (same or least[frozenset(sets[b])] == b)):
-            want[a, b] = (overlap, j)
-    assert set(got) <= set(want)
-    assert all((got[k].overlap, got[k].jaccard) == want[k] for k in got)
-    assert len(want) > 80 and len(got) >= 0.97 * len(want)
-
-
-def test_a_bitmap_never_rules_out_a_pair(spark):
+    return texts
+
+
+@pytest.mark.parametrize("parameters", [{}, {"part_grams": 500}, {"hot": 2, "max_hot": 40}, {"block": 2}, {"hot": 3, "block": 3, "part_grams": 900}])
+def test_links_and_classes(spark, parameters):
+    """Nothing at the threshold or above is missed, whatever the parts, hot grams and blocks."""
+    texts = edited(11)
+    got = sorted(tuple(r) for r in jaccard.similar_documents(spark.createDataFrame(texts, DOCS), **parameters).collect())
+    assert got == linked(texts) and len(got) > 80
+
+
+@pytest.mark.parametrize("n, threshold", [(1, 0.5), (2, 0.8), (3, 0.3), (5, 1.0)])
+def test_other_thresholds(spark, n, threshold):
+    texts = edited(n, 40, vocabulary=60)
+    got = sorted(tuple(r) for r in jaccard.similar_documents(spark.createDataFrame(texts, DOCS), n, threshold, block=20).collect())
+    assert got == linked(texts, n, threshold) != []
+
+
+def test_a_large_group_of_edited_copies(spark):
+    """Every one of its texts differs and every pair of them is similar."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(120):
+        copy = list(base)
+        copy[rng.randrange(80)] = f"x{i}"
+        texts.append((i, " ".join(copy)))
+    for parameters in ({}, {"block": 16, "hot": 20}):
+        got = jaccard.similar_documents(spark.createDataFrame(texts, DOCS), **parameters).collect()
+        assert sorted(tuple(r) for r in got) == [(i, 0, 119) for i in range(120)]
+
+
+def test_ids_of_other_types_and_the_shuffle_side(spark, monkeypatch):
+    texts = [(None if d == 3 else f"d{d:03}", t) for d, t in edited(4, 20)]
+    docs = spark.createDataFrame(texts, "doc_id string, text string")
+    got = sorted(tuple(r) for r in jaccard.similar_documents(docs).collect())
+    assert got == linked([x for x in texts if x[0]])
+    kept = {None} | {d for d, _ in texts} - {d for d, c, _ in got if d != c}
+    assert {r.doc_id for r in jaccard.keep_one(docs).collect()} == kept
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 0)
+    assert {r.doc_id for r in jaccard.keep_one(docs).collect()} == kept
+
+
+def test_a_bitmap_never_rules_out_a_pair():
     rng = np.random.default_rng(1)
     for _ in range(300):
-        a = rng.integers(0, 2**63, rng.integers(1, 200)).astype(np.uint64)
-        b = np.concatenate([a[: rng.integers(0, len(a) + 1)], rng.integers(0, 2**63, rng.integers(0, 100)).astype(np.uint64)])
-        if not len(b):
-            continue
-        bits = jaccard.bitmap_bits(int(jaccard.size_band(np.array([max(len(a), len(b))]), 0.5)[0]), 0.5)
-        x, y = (np.frombuffer(jaccard.bitmap(s, bits), np.uint64) for s in (a, b))
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 200))).astype(np.uint64)
+        b = np.unique(np.concatenate([a[: rng.integers(0, len(a) + 1)], rng.integers(0, 2**63, rng.integers(1, 100)).astype(np.uint64)]))
+        x, y = jaccard.bitmaps(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 256)
         bound = (len(a) + len(b) - int(np.bitwise_count(x ^ y).sum())) // 2
-        assert bound >= len(set(a.tolist()) & set(b.tolist()))
+        assert bound >= len(np.intersect1d(a, b))
 
 
 def test_groups_of_long_chains(spark):
