@@ -74,12 +74,8 @@ s2 AS MATERIALIZED (
   UNION ALL
   SELECT doc_id, cut.text, lang, source, length(cut.text) AS n_chars FROM s1 JOIN cut USING (doc_id)
   WHERE trim(translate(coalesce(cut.text, ''), chr(10) || chr(9) || chr(13), '   ')) <> ''),
-pairs AS MATERIALIZED ({_over("op7_ngram_jaccard", "s2")}),
-linked AS MATERIALIZED (
-  WITH RECURSIVE edges AS (SELECT doc_a AS a, doc_b AS b FROM pairs UNION SELECT doc_b, doc_a FROM pairs),
-  reach(a, b) AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a)
-  SELECT DISTINCT a AS doc_id FROM reach WHERE b < a),
-s3 AS MATERIALIZED (SELECT {_COLUMNS} FROM s2 WHERE doc_id NOT IN (SELECT doc_id FROM linked)),
+near AS MATERIALIZED ({_over("op7_ngram_jaccard", "s2")}),
+s3 AS MATERIALIZED (SELECT {_COLUMNS} FROM s2 WHERE doc_id NOT IN (SELECT doc_id FROM near WHERE doc_id <> class_id)),
 leaks AS MATERIALIZED ({_over("op4_decontamination", "s3")}),
 s4 AS MATERIALIZED (SELECT {_COLUMNS} FROM s3 WHERE doc_id NOT IN (SELECT doc_id FROM leaks)),
 mix AS MATERIALIZED ({mixing_sql("SELECT doc_id, source, text FROM s4")})
