@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of two or three short columns that are sent to every executor at most.
@@ -51,6 +51,24 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as the session has cores; a large table, which has more of them by itself, stays as it is.
+
+    A table of one row group is read by one task, which would then do all the work on its texts.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df and further columns, each evaluated once for a row however often it is used later.
+
+    The optimizer moves neither conditions nor projections through a generator, and would otherwise
+    repeat a column's expression in each of them.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def fresh(df: DataFrame, base: str) -> str:
     """A column name starting with base that df does not have, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -61,7 +61,10 @@ def weighted(text: Column) -> Column:
     """
     mark = r"(?<![^ \t\r\n])#!([^ \t\r\n]+)!#(?![^ \t\r\n])"
     number = lambda inner: F.regexp_extract(inner, "^([+-]?[0-9]+)", 1).cast("int")
+    entry = lambda i, t, w: F.struct(i.alias("pos"), t.alias("term"), w.alias("weight"))
     weights = F.concat(F.array(F.lit(1)), F.transform(F.regexp_extract_all(text, F.lit(mark), F.lit(1)), number))
     parts = F.arrays_zip(F.split(text, mark).alias("part"), weights.alias("weight"))
     tokens = F.flatten(F.transform(parts, lambda p: F.transform(raw_tokens(p["part"]), lambda t: F.struct(t.alias("term"), p["weight"].alias("weight")))))
-    return F.transform(tokens, lambda t, i: F.struct(i.alias("pos"), t["term"].alias("term"), t["weight"].alias("weight")))
+    marked = F.transform(tokens, lambda t, i: entry(i, t["term"], t["weight"]))
+    # most texts have no weights, and need no look-around
+    return F.when(F.instr(text, "#!") > 0, marked).otherwise(F.transform(raw_tokens(text), lambda t, i: entry(i, t, F.lit(1))))

@@ -40,26 +40,45 @@ def pair(a: Column, b: Column) -> Column:
     return F.concat(half(a), half(b), rest(a), rest(b))
 
 
-def gaps(postings: DataFrame) -> DataFrame:
+#: Documents in a block of a term's list, and entries in a block of gaps.
+LIST_BLOCK = 1 << 20
+
+
+def _before(blocks: DataFrame, value: Column, name: str) -> DataFrame:
+    """blocks(term, block, ...) and, as `name`, the value over a term's earlier blocks; a term has one row per block here."""
+    earlier = Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.withColumn(name, F.coalesce(value.over(earlier), F.lit(0)))
+
+
+def gaps(postings: DataFrame, block: int = LIST_BLOCK) -> DataFrame:
     """(term, at, tf, gap): gap is the docid less the term's one before, the docid itself for the first; at counts a term's list from 1.
 
-    A term's list is one sorted window partition, which spills where it does not fit in memory.
+    A list is worked on in blocks of docids, so that no task holds the list of a word that is everywhere: each block
+    goes on from the last docid and the number of entries of the blocks before.
     """
-    by_term = Window.partitionBy("term").orderBy("docid")
-    return postings.select("term", F.row_number().over(by_term).alias("at"), "tf", (F.col("docid") - F.lag("docid", 1, 0).over(by_term)).alias("gap"))
+    placed = postings.select("term", "docid", "tf", F.floor(F.col("docid") / block).alias("block"))
+    blocks = placed.groupBy("term", "block").agg(F.max("docid").alias("last"), F.count(F.lit(1)).alias("n"))
+    blocks = _before(_before(blocks, F.max("last"), "base"), F.sum("n"), "ahead").select("term", "block", "base", "ahead")
+    within = Window.partitionBy("term", "block").orderBy("docid")
+    rows = placed.withColumns({"row": F.row_number().over(within), "before": F.lag("docid").over(within)}).join(blocks, ["term", "block"])
+    return rows.select("term", (F.col("row") + F.col("ahead")).alias("at"), "tf", (F.col("docid") - F.coalesce("before", "base")).alias("gap"))
 
 
-def from_gaps(delta: DataFrame) -> DataFrame:
-    """(term, docid, tf) from gaps."""
-    running = Window.partitionBy("term").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return delta.select("term", F.sum("gap").over(running).alias("docid"), "tf")
+def from_gaps(delta: DataFrame, block: int = LIST_BLOCK) -> DataFrame:
+    """(term, docid, tf) from gaps, in blocks of entries."""
+    placed = delta.select("term", "at", "gap", "tf", F.floor(F.col("at") / block).alias("block"))
+    blocks = _before(placed.groupBy("term", "block").agg(F.sum("gap").alias("sum")), F.sum("sum"), "base").select("term", "block", "base")
+    running = Window.partitionBy("term", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    rows = placed.withColumn("sum", F.sum("gap").over(running)).join(blocks, ["term", "block"])
+    return rows.select("term", (F.col("base") + F.col("sum")).alias("docid"), "tf")
 
 
-def packed(postings: DataFrame) -> DataFrame:
-    """(term, df, postings): each term's list as 'docid:tf docid:tf ...'."""
+def packed(postings: DataFrame, block: int = LIST_BLOCK) -> DataFrame:
+    """(term, block, df, postings): each term's list as 'docid:tf docid:tf ...', a row for each block of docids it is in; df counts the row's entries."""
     entry = F.struct("docid", "tf")
     text = F.transform(F.array_sort(F.collect_list(entry)), lambda x: F.concat_ws(":", x["docid"], x["tf"]))
-    return postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.array_join(text, " ").alias("postings"))
+    by_block = postings.groupBy("term", F.floor(F.col("docid") / block).alias("block"))
+    return by_block.agg(F.count(F.lit(1)).alias("df"), F.array_join(text, " ").alias("postings"))
 
 
 def front_coded(terms: DataFrame, group: int = 16, ranges: int | None = None) -> DataFrame:

@@ -16,3 +16,12 @@ def extract(docs: DataFrame, names: DataFrame, docname: str = "docname", suffix:
     listed = names.select(F.col(names.columns[0]).alias("__listed"))
     key = suffix_key(F.col(docname)) if suffix else F.col(docname)
     return docs.join(listed, key == F.col("__listed"), "left_semi")
+
+
+def extract_counts(docs: DataFrame, names: DataFrame, docname: str = "docname", suffix: bool = False) -> DataFrame:
+    """(processed, extracted): how many rows docs has, and how many of them extract() takes."""
+    listed = names.select(F.col(names.columns[0]).alias("__listed")).distinct()
+    key = suffix_key(F.col(docname)) if suffix else F.col(docname)
+    return docs.select(key.alias("__key")).join(listed, F.col("__key") == F.col("__listed"), "left").agg(
+        F.count(F.lit(1)).alias("processed"), F.count("__listed").alias("extracted")
+    )

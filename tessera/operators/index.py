@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.shared import once, staged
+from . import codecs
 
 
 class Index(NamedTuple):
@@ -37,53 +39,77 @@ def build(docs: DataFrame, docid: str = "docid", docname: str = "docname", conte
 
     Documents whose weights do not add up to more than zero are left out and not counted.
     """
-    tokens = docs.select(F.col(docid).alias("docid"), F.col(docname).alias("docname"), X.weighted(F.col(content)).alias("tokens"))
+    rows = once(docs.select(F.col(docid).alias("docid"), F.col(docname).alias("docname"), F.col(content).alias("content")), {"tokens": X.weighted(F.col("content"))})
     dl = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, t: s + t["weight"])
-    sized = tokens.withColumn("dl", dl).where("dl > 0")
+    sized = once(rows.drop("content"), {"dl": dl}).where("dl > 0")
     terms = sized.select("docid", "dl", F.explode("tokens").alias("t"))
     postings = terms.groupBy(F.col("t.term").alias("term"), "docid", "dl").agg(F.sum("t.weight").alias("tf"))
     return index_of(sized.select("docid", "docname", "dl"), postings.select("term", "docid", "tf", "dl"))
 
 
+def _sized(docs: DataFrame, tokens: Column, docid: str, docname: str) -> DataFrame:
+    """(docid, docname, tokens, dl) of the documents with tokens."""
+    rows = docs.withColumns({"docid": F.col(docid), "docname": F.col(docname)})
+    return once(rows, {"__tokens": tokens}).select("docid", "docname", F.col("__tokens").alias("tokens"), F.size("__tokens").cast("long").alias("dl")).where("dl > 0")
+
+
+def build_tokens(docs: DataFrame, tokens: Column, docid: str = "docid", docname: str = "docname") -> Index:
+    """An index of arrays of tokens, each of weight 1; documents with none, or null, are left out."""
+    sized = _sized(docs, tokens, docid, docname)
+    postings = sized.select("docid", "dl", F.explode("tokens").alias("term")).groupBy("term", "docid", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return index_of(sized.select("docid", "docname", "dl"), postings.select("term", "docid", "tf", "dl"))
+
+
 def build_for(docs: DataFrame, terms: DataFrame, tokens: Column, docid: str = "docid", docname: str = "docname") -> Index:
     """An index that holds the postings of terms(term, as) only, for searching a collection once.
 
     tokens gives each document's array of tokens; those equal to a `term` are indexed as its `as`, which may be
     a stem or the term itself.  Sizes count all tokens.  Only occurrences of these terms are shuffled.
     """
-    sized = docs.select(F.col(docid).alias("docid"), F.col(docname).alias("docname"), tokens.alias("tokens")).withColumn("dl", F.size("tokens").cast("long")).where("dl > 0")
+    sized = _sized(docs, tokens, docid, docname)
     found = sized.select("docid", "dl", F.explode("tokens").alias("token")).join(terms, F.col("token") == F.col("term"))
     postings = found.groupBy(F.col("as").alias("term"), "docid", "dl").agg(F.count(F.lit(1)).alias("tf")).select("term", "docid", "tf", "dl")
     return index_of(sized.select("docid", "docname", "dl"), postings)
 
 
+def stored(index: Index) -> Index:
+    """The index with docs and postings in the shared folder, unsorted, so that no text is analysed again for what follows."""
+    return index_of(staged(index.docs, "docs"), staged(index.postings, "postings"))
+
+
 def merge(*indexes: Index) -> Index:
-    """One index of several segments: docids move on by the ids that earlier segments use.  Names are not made unique."""
+    """One index of several segments: docids move on by the ids that earlier segments use.  Names are not made unique.
+
+    The numbers of ids come from the segments' docs, which are stored for it.
+    """
     docs, postings, base = [], [], 0
     for x in indexes:
-        shift = F.lit(base).cast("long")
-        docs.append(x.docs.withColumn("docid", F.col("docid") + shift))
+        shift, mine = F.lit(base).cast("long"), staged(x.docs, "docs")
+        docs.append(mine.withColumn("docid", F.col("docid") + shift))
         postings.append(x.postings.withColumn("docid", F.col("docid") + shift))
-        base += x.stats.first()["next_id"]  # one number per segment
+        base += mine.agg(F.coalesce(F.max("docid") + 1, F.lit(0))).first()[0]  # one number per segment
     union = lambda parts: reduce(DataFrame.unionByName, parts)
     return index_of(union(docs), union(postings))
 
 
 def write(index: Index, path: str, kind: str = "text", mode: str = "error") -> None:
-    """Tables under path; mode is that of a DataFrame's writer.  Postings are sorted by term with a bloom filter on it, so a lookup reads few row groups."""
+    """Tables under path; mode is that of a DataFrame's writer.  Postings are sorted by term with a bloom filter on it, so a lookup reads few row groups.
+
+    Postings are stored before they are sorted, as the search for the ranges reads them too.
+    """
     spark = index.docs.sparkSession
-    index.docs.repartitionByRange("docid").sortWithinPartitions("docid").write.mode(mode).parquet(f"{path}/docs")
+    index.docs.sortWithinPartitions("docid").write.mode(mode).parquet(f"{path}/docs")
     (
-        index.postings.repartitionByRange("term", "docid")
+        staged(index.postings, "postings")
+        .repartitionByRange("term", "docid")
         .sortWithinPartitions("term", "docid")
         .write.mode(mode)
         .option("parquet.bloom.filter.enabled#term", "true")
         .parquet(f"{path}/postings")
     )
-    stored = spark.read.parquet(f"{path}/postings")
-    index_of(index.docs, stored).dictionary.repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/dictionary")
-    stats = index_of(spark.read.parquet(f"{path}/docs"), stored).stats
-    stats.withColumn("kind", F.lit(kind)).coalesce(1).write.mode(mode).parquet(f"{path}/stats")
+    made = index_of(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"))
+    made.dictionary.sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/dictionary")
+    made.stats.withColumn("kind", F.lit(kind)).coalesce(1).write.mode(mode).parquet(f"{path}/stats")
 
 
 def load(spark: SparkSession, path: str, kind: str | None = None) -> Index:
@@ -111,3 +137,17 @@ def sizes(index: Index) -> DataFrame:
     """(documents, terms, postings, tokens) of an index."""
     terms = index.dictionary.agg(F.count(F.lit(1)).alias("terms"), F.coalesce(F.sum("df"), F.lit(0)).alias("postings"))
     return index.stats.select(F.col("n").alias("documents"), F.col("total").alias("tokens")).crossJoin(terms).select("documents", "terms", "postings", "tokens")
+
+
+def byte_sizes(index: Index) -> DataFrame:
+    """(terms, term_bytes, list_bytes) of an index: its terms with an end byte each, and gaps and frequencies in groups of seven bits."""
+    lists = codecs.gaps(index.postings).select("term", (codecs.vbyte_size(F.col("gap")) + codecs.vbyte_size(F.col("tf"))).alias("bytes"))
+    by_term = lists.groupBy("term").agg(F.sum("bytes").alias("bytes"))
+    total = lambda x, name: F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(name)
+    return by_term.agg(F.count(F.lit(1)).alias("terms"), total(F.octet_length("term") + 1, "term_bytes"), total("bytes", "list_bytes"))
+
+
+def document_counts(docs: DataFrame, tokens: Column) -> DataFrame:
+    """(read, indexed, empty): documents read, and of those the ones with and without tokens."""
+    has = F.coalesce(F.size(tokens) > 0, F.lit(False))
+    return docs.select(has.alias("has")).agg(F.count(F.lit(1)).alias("read"), F.count_if("has").alias("indexed"), F.count_if(~F.col("has")).alias("empty"))

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import porter
 from ..functions import text as X
-from ..functions.shared import shared_path, small, staged
+from ..functions.shared import shared_path, small, spread, staged
 from ..operators import analyze, codecs, extract, index, search
 from ..operators.numbering import dense_ids
 from ..sources import results, trec
@@ -35,7 +35,7 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +52,8 @@ def _vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf_dir: str) -> index.Index:
-    """documents, folded but not stemmed, as an index of whole content."""
-    docs = _documents(spark, sf_dir).withColumn("content", F.array_join(X.words(F.col("text")), " "))
-    return index.build(docs)
+    """documents, folded but not stemmed, as an index of all their words."""
+    return index.build_tokens(_documents(spark, sf_dir), X.words(F.col("text")))
 
 
 # --- projections ---
@@ -163,6 +162,12 @@ def extract_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extract(docs, table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string")), suffix=True).select("doc_id", "docname")
 
 
+@query("SELECT count(*)::BIGINT AS processed, (count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE toxic = 0)))::BIGINT AS extracted FROM documents")
+def extract_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws("_", "source", "doc_id").alias("docname"))
+    return extract.extract_counts(docs, table(spark, sf_dir, "labels").where("toxic = 0").select(F.col("doc_id").cast("string")), suffix=True)
+
+
 # --- index ---
 
 _TF = f"SELECT doc_id AS docid, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest({O.words('text')}) AS term FROM documents) GROUP BY ALL"
@@ -180,6 +185,11 @@ def collection_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.sizes(_index(spark, sf_dir))
 
 
+@query(f"SELECT count(*)::BIGINT AS read, (count(*) FILTER (len(w) > 0))::BIGINT AS indexed, (count(*) FILTER (coalesce(len(w), 0) = 0))::BIGINT AS empty FROM (SELECT {O.words('text')} AS w FROM documents)")
+def document_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.document_counts(_documents(spark, sf_dir), X.words(F.col("text")))
+
+
 @query(f"SELECT df, term FROM (SELECT term, count(*)::BIGINT AS df FROM ({_TF}) GROUP BY term)")
 def dictionary_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _index(spark, sf_dir).dictionary.select("df", "term").orderBy("term")
@@ -208,12 +218,12 @@ def weighted_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("conv_id", "turn", F.col("t.term").alias("term")).agg(F.sum("t.weight").alias("tf"))
 
 
-@query(f"SELECT term, count(*)::BIGINT AS df, string_agg(docid || ':' || tf, ' ' ORDER BY docid) AS postings FROM ({_TF}) GROUP BY term")
+@query(f"SELECT term, docid // {codecs.LIST_BLOCK} AS block, count(*)::BIGINT AS df, string_agg(docid || ':' || tf, ' ' ORDER BY docid) AS postings FROM ({_TF}) GROUP BY ALL")
 def postings_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs.packed(_index(spark, sf_dir).postings)
 
 
-@query(f"SELECT term, docid - lag(docid, 1, 0) OVER w AS gap, tf, (row_number() OVER w)::INT AS at FROM ({_TF}) WINDOW w AS (PARTITION BY term ORDER BY docid)")
+@query(f"SELECT term, docid - lag(docid, 1, 0) OVER w AS gap, tf, (row_number() OVER w)::BIGINT AS at FROM ({_TF}) WINDOW w AS (PARTITION BY term ORDER BY docid)")
 def postings_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs.gaps(_index(spark, sf_dir).postings)
 
@@ -235,6 +245,14 @@ def vbyte_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sized.groupBy("term").agg(F.sum("n").alias("bytes"))
 
 
+@query(
+    f"WITH g AS (SELECT term, docid - lag(docid, 1, 0) OVER (PARTITION BY term ORDER BY docid) AS gap, tf FROM ({_TF})), t AS (SELECT term, sum({_SEVENS('gap')} + {_SEVENS('tf')}) AS bytes FROM g GROUP BY term) "
+    "SELECT count(*)::BIGINT AS terms, sum(strlen(term) + 1)::BIGINT AS term_bytes, sum(bytes)::BIGINT AS list_bytes FROM t"
+)
+def index_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.byte_sizes(_index(spark, sf_dir))
+
+
 _HEX = lambda v: f"(CASE WHEN {v} < 128 THEN printf('%02X', {v}) WHEN {v} < 16384 THEN printf('%02X%02X', ({v} >> 7) | 128, {v} & 127) WHEN {v} < 2097152 THEN printf('%02X%02X%02X', ({v} >> 14) | 128, (({v} >> 7) & 127) | 128, {v} & 127) ELSE printf('%02X%02X%02X%02X', ({v} >> 21) | 128, (({v} >> 14) & 127) | 128, (({v} >> 7) & 127) | 128, {v} & 127) END)"
 
 
@@ -287,7 +305,9 @@ def lookup_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segment(docs: DataFrame) -> index.Index:
-    return index.build(dense_ids(docs.where(F.size(X.words(F.col("text"))) > 0), ["doc_no"]).withColumn("content", F.array_join(X.words(F.col("text")), " ")))
+    """An index with ids from 0 in the order of doc_no, which is unique."""
+    ids = dense_ids(docs.where(F.size(X.words(F.col("text"))) > 0).select("doc_no"), ["doc_no"])
+    return index.build_tokens(docs.join(ids, "doc_no"), X.words(F.col("text")))
 
 
 @query(
@@ -325,6 +345,42 @@ def trec_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trec.read_trec(spark, path)
 
 
+@query(r"SELECT (row_number() OVER (ORDER BY doc_id) - 1)::BIGINT AS docid, 'doc' || doc_id AS docname, source AS header, chr(10) || text || ' </DOC> goes on' AS content FROM documents WHERE text IS NOT NULL")
+def trec_own_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As trec_parse, where only a line that is the end tag ends a document."""
+    path = shared_path(spark, "trec")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").orderBy("doc_id")
+    docs.select(trec.to_trec(F.concat(F.lit("doc"), F.col("doc_id")), F.concat("text", F.lit(" </DOC> goes on")), F.col("source")).alias("value")).write.text(path)
+    return trec.read_trec(spark, path, own_line=True)
+
+
+@query("SELECT (row_number() OVER (ORDER BY coalesce(lang = 'en', false) DESC, doc_id) - 1)::BIGINT AS docid, 'doc' || doc_id AS docname, chr(10) || text || chr(10) AS content FROM documents WHERE text IS NOT NULL")
+def trec_several_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents in one folder and all others in a second one: a single range of ids."""
+    path = shared_path(spark, "trec")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("en", F.coalesce(F.col("lang") == "en", F.lit(False)))
+    for name, part in (("1", "en"), ("2", "NOT en")):
+        docs.where(part).orderBy("doc_id").select(trec.to_trec(F.concat(F.lit("doc"), "doc_id"), F.col("text")).alias("value")).write.text(f"{path}/{name}")
+    return trec.read_trec(spark, [f"{path}/1", f"{path}/2"]).select("docid", "docname", "content")
+
+
+@query(f"SELECT array_to_string({O.words('line')}, ' ') AS line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)")
+def plain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without markup: every line is analysed by itself."""
+    path = shared_path(spark, "lines")
+    table(spark, sf_dir, "documents").where("text IS NOT NULL").select("text").write.text(path)
+    return trec.read_lines(spark, path).select(F.array_join(X.words(F.col("value")), " ").alias("line"))
+
+
+@query(f"SELECT file, {O.stripped('html')} AS content FROM (SELECT page_id % 16 AS file, string_agg(html || chr(10), '' ORDER BY page_id) AS html FROM pages WHERE html IS NOT NULL GROUP BY ALL)")
+def whole_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of many pages, each stripped as one document."""
+    path = shared_path(spark, "whole")
+    pages = table(spark, sf_dir, "pages").where("html IS NOT NULL").select((F.col("page_id") % 16).alias("file"), "page_id", "html")
+    pages.repartition(16, "file").sortWithinPartitions("file", "page_id").select("file", "html").write.partitionBy("file").text(path)
+    return trec.read_whole(spark, path).select(F.regexp_extract("file", r"file=(\d+)", 1).cast("long").alias("file"), X.strip_markup(F.col("content")).alias("content"))
+
+
 @query(
     f"""SELECT conv_id, qid, string_agg(t, ' ' ORDER BY turn) AS query FROM (
 SELECT conv_id, 'Q.' || conv_id AS qid, turn, {O.stripped("replace(text, chr(10), ' ')")} AS t FROM conversations) GROUP BY ALL"""
@@ -388,6 +444,13 @@ def bm25_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(index.load(spark, path), _queries(spark, sf_dir))
 
 
+@query(O.bm25(_TF, O.query_weights(f"SELECT * FROM ({_ASKED}) WHERE qid % 3 <> 0"), sizes=_SIZES))
+def bm25_blank_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third query is empty, and finds nothing."""
+    line = F.when(F.col("item_id") % 3 == 0, F.lit(" ")).otherwise(F.array_join(X.words(F.col("text")), " "))
+    return _once(spark, sf_dir, search.query_weights(_queries(spark, sf_dir, line)))
+
+
 _HALVES = f"SELECT item_id AS qid, unnest({O.words('text')}) AS term, CASE WHEN generate_subscripts({O.words('text')}, 1) <= 5 THEN 1 ELSE 4 END AS weight FROM benchmark"
 
 

@@ -20,7 +20,7 @@ def six_digits(x: Column) -> Column:
 
 
 def result_line(qid: Column, docname: Column, rank: Column, score: Column) -> Column:
-    """[qid TAB] docname TAB rank TAB score; no qid where it is null."""
+    """[qid TAB] docname TAB rank TAB score; no qid where it is null.  Names are whole: nothing is cut off at 1023 bytes."""
     return F.concat_ws("\t", qid.cast("string"), docname.cast("string"), rank.cast("string"), six_digits(score))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.shared import once
 from ..operators.numbering import dense_ids
 
 END = "</DOC>"
@@ -51,9 +52,11 @@ def read_trec(spark: SparkSession, paths: str | list[str], own_line: bool = Fals
     )
     open_ends = sizes.where("over > 0").select("file", F.col("last.block").alias("block"), F.col("last.serial").alias("serial"))
     closed = records.where(F.instr("value", "<DOC>") > 0).join(open_ends, ["file", "block", "serial"], "left_anti")
+    # places are numbered, not texts: these are moved once, to their numbers
+    place = ["file", "block", "serial"]
     body = F.regexp_extract("value", r"(?s)<DOC>(.*)\z", 1)
-    docs = closed.select("file", "block", "serial", *[c.alias(n) for n, c in parse(body).items()])
-    return dense_ids(docs, ["file", "block", "serial"]).select("docid", "docname", "header", "content")
+    numbered = closed.join(dense_ids(closed.select(*place), place), place).select("docid", "value")
+    return once(numbered, {"body": body}).select("docid", *[c.alias(n) for n, c in parse(F.col("body")).items()])
 
 
 def to_trec(docname: Column, content: Column, header: Column | None = None) -> Column:
