@@ -1,5 +1,5 @@
-"""Shared-folder tables and naming used by the corpus operators."""
+"""Shared-folder tables, naming and evaluation helpers used by the corpus operators."""
 
-from ..functions.shared import fresh, shared_dir, shared_path, staged
+from ..functions.shared import fresh, once, shared_dir, shared_path, spread, staged
 
-__all__ = ["fresh", "shared_dir", "shared_path", "staged"]
+__all__ = ["fresh", "once", "shared_dir", "shared_path", "spread", "staged"]

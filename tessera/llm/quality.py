@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import once
+
 STOPWORDS = (
     "the of and to in is that for it as with was on are this from "
     "de la le et les des en un du une que est pour qui dans par au "
@@ -19,19 +21,25 @@ STOPWORDS = (
     "el los se las por con una su para es"
 ).split()
 
-#: Measurement -> Spark SQL over text; all are counts.
+#: What several measurements are made of -> Spark SQL over text.
+PARTS = {
+    "words": r"regexp_extract_all(text, '[^ \\t\\r\\n]+', 0)",
+    "letter_runs": r"regexp_extract_all(text, '\\p{L}+', 0)",
+    "lines": r"split(text, '\\n')",
+}
+#: Measurement -> Spark SQL over text and PARTS; all are counts.
 MEASURES = {
     "n_characters": "length(text)",
-    "n_words": r"regexp_count(text, '[^ \\t\\r\\n]+')",
-    "n_letters": r"length(regexp_replace(text, '[^\\p{L}]', ''))",
-    "n_upper": r"length(regexp_replace(text, '[^\\p{Lu}]', ''))",
-    "n_symbols": r"length(regexp_replace(text, '[^#$%&*<>=@^_{}\\[\\]~`|\\\\+/]', ''))",
-    "n_digits": r"length(regexp_replace(text, '[^0-9]', ''))",
+    "n_words": "size(words)",
+    "n_letters": "aggregate(letter_runs, 0, (n, x) -> n + length(x))",
+    "n_upper": r"length(regexp_replace(text, '[^\\p{Lu}]+', ''))",
+    "n_symbols": r"length(regexp_replace(text, '[^#$%&*<>=@^_{}\\[\\]~`|\\\\+/]+', ''))",
+    "n_digits": r"length(regexp_replace(text, '[^0-9]+', ''))",
     "n_pipes": "length(text) - length(replace(text, '|', ''))",
-    "n_distinct_words": r"size(array_distinct(regexp_extract_all(text, '[^ \\t\\r\\n]+', 0)))",
-    "n_stopwords": r"regexp_count(text, '(?i)(?<![\\p{L}])(?:" + "|".join(STOPWORDS) + r")(?![\\p{L}])')",
-    "n_lines": r"size(split(text, '\\n'))",
-    "n_distinct_lines": r"size(array_distinct(split(text, '\\n')))",
+    "n_distinct_words": "size(array_distinct(words))",
+    "n_stopwords": "size(filter(letter_runs, x -> lower(x) IN (" + ", ".join(f"'{w}'" for w in STOPWORDS) + ")))",
+    "n_lines": "size(lines)",
+    "n_distinct_lines": "size(array_distinct(lines))",
     "n_ellipsis_lines": r"regexp_count(text, '(?:\\.\\.\\.|…)[ \\t]*(?:\\n|\\z)')",
     "n_bullet_lines": r"regexp_count(text, '(?:\\A|\\n)[ \\t]*[-*•][ \\t]')",
 }
@@ -69,6 +77,17 @@ POLICIES = {
 }
 
 
+def marked(rows: DataFrame) -> DataFrame:
+    """rows(text, ...) without null texts, with measurements and `failed`; text is dropped."""
+    parts = once(rows, {n: F.expr(sql) for n, sql in PARTS.items()})
+    measured = once(parts, {m: F.expr(sql).cast("long") for m, sql in MEASURES.items()}).drop("text", *PARTS)
+    bits = [F.when(F.expr(rule), F.lit(BITS[name])).otherwise(F.lit(0)).cast("long") for name, rule in RULES.items()]
+    failed = bits[0]
+    for b in bits[1:]:
+        failed = failed.bitwiseOR(b)
+    return once(measured, {"failed": failed})
+
+
 def ledger(docs: DataFrame, policies: dict[str, int] | None = None) -> DataFrame:
     """(doc_id, measurements, failed, keep_<version>...) of every row of docs(doc_id, text).
 
@@ -76,14 +95,7 @@ def ledger(docs: DataFrame, policies: dict[str, int] | None = None) -> DataFrame
     empty one and fails ``no_words``.  Repeated rows give repeated entries; a
     null doc_id stays null; other columns are ignored.
     """
-    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
-    measured = docs.select("doc_id", text).select("doc_id", *[F.expr(sql).cast("long").alias(m) for m, sql in MEASURES.items()])
-    bits = [F.when(F.expr(rule), F.lit(BITS[name])).otherwise(F.lit(0)).cast("long") for name, rule in RULES.items()]
-    failed = bits[0]
-    for b in bits[1:]:
-        failed = failed.bitwiseOR(b)
-    marked = measured.withColumn("failed", failed)
-    return apply_policies(marked, policies)
+    return apply_policies(marked(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))), policies)
 
 
 def passes(bits: int) -> Column:
@@ -91,13 +103,13 @@ def passes(bits: int) -> Column:
     return F.col("failed").bitwiseAND(F.lit(bits)) == 0
 
 
-def apply_policies(marked: DataFrame, policies: dict[str, int] | None = None) -> DataFrame:
+def apply_policies(entries: DataFrame, policies: dict[str, int] | None = None) -> DataFrame:
     """A ledger with one keep_<version> column for each policy."""
     chosen = POLICIES if policies is None else policies
-    return marked.select("*", *[passes(m).alias(f"keep_{v}") for v, m in chosen.items()])
+    return entries.select("*", *[passes(m).alias(f"keep_{v}") for v, m in chosen.items()])
 
 
-def ablations(marked: DataFrame, policies: dict[str, int] | None = None) -> DataFrame:
+def ablations(entries: DataFrame, policies: dict[str, int] | None = None) -> DataFrame:
     """For each policy and each of its rules: documents that fail the rule, that fail it alone, and
     that the policy without it would keep; also the policy's totals and the documents' joint bits.
 
@@ -106,8 +118,8 @@ def ablations(marked: DataFrame, policies: dict[str, int] | None = None) -> Data
     empty ledger gives no rows.
     """
     chosen = POLICIES if policies is None else policies
-    spark = marked.sparkSession
-    by_bits = marked.groupBy("failed").agg(F.count(F.lit(1)).alias("docs"))
+    spark = entries.sparkSession
+    by_bits = entries.groupBy("failed").agg(F.count(F.lit(1)).alias("docs"))
     rules = spark.createDataFrame(
         [(v, m, r, BITS[r]) for v, m in chosen.items() for r in RULES if m & BITS[r]],
         "policy string, mask long, rule string, bit long",
@@ -131,13 +143,8 @@ def ablations(marked: DataFrame, policies: dict[str, int] | None = None) -> Data
 def keep_good(docs: DataFrame, policy: str = "v2") -> DataFrame:
     """The rows of docs that the policy keeps, columns unchanged (extra ones too).
 
-    Works in one scan: the ledger's expressions are evaluated beside the row.
+    The ledger of docs beside its rows, in one scan: the policy's mask decides over the failure bits.  A null text
+    counts as an empty one; a null doc_id says nothing about its row; repeated rows are judged alike.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    from_rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), text.alias("text"))
-    measured = from_rows.select("row", *[F.expr(sql).cast("long").alias(m) for m, sql in MEASURES.items()])
-    keep = F.lit(True)
-    for name in RULES:
-        if POLICIES[policy] & BITS[name]:
-            keep = keep & ~F.expr(RULES[name])
-    return measured.where(keep).select("row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    return marked(rows).where(passes(POLICIES[policy])).select("row.*")

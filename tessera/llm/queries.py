@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, jaccard, licenses, line_dedup, mixing, passage_dedup, pii, quality, token_counts, warc
-from .common import shared_path
+from .common import shared_path, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
