@@ -50,24 +50,40 @@ def _with_sequence(positions: DataFrame, kind) -> DataFrame:
     return positions.withColumn("sequence", F.shiftright("at", 28)) if kind is Numbered else positions
 
 
-def rerank(positions: DataFrame, key: list[str], kind=Named) -> DataFrame:
-    """The positions that share key with another position, and `first`, the least position with that key."""
+def rerank(positions: DataFrame, key: list[str], kind=Named, hot: Column | None = None) -> DataFrame:
+    """The positions that share key with another position, and `first`, the least position with that key.
+
+    Keys for which `hot` is true, all of them by default, may belong to any number of positions: their least and
+    last ones are aggregated before they are shuffled, and joined back, a join that adaptive execution splits where it is skewed.  hot has to
+    follow from key.  The positions of any other key meet in one task, which saves a shuffle.
+    """
+    def aggregated(rows: DataFrame) -> DataFrame:
+        ends = rows.groupBy(*key).agg(F.min(kind.here()).alias("__least"), F.max(kind.here()).alias("__last")).where("__least <> __last")
+        # a position's first so far may be part of the key
+        keyed = ends.select(*[F.col(k).alias(f"__{k}") for k in key], "__least")
+        joined = rows.join(keyed, [F.col(k) == F.col(f"__{k}") for k in key])
+        return joined.select(*kind.columns, F.col("__least").alias("first"))
+
+    if hot is None:
+        return aggregated(positions)
     same = Window.partitionBy(*key)
-    return (
-        positions.withColumn("first", F.min(kind.here()).over(same))
+    met = (
+        positions.where(~hot)
+        .withColumn("least", F.min(kind.here()).over(same))
         .withColumn("last", F.max(kind.here()).over(same))
-        .where("first <> last")
-        .select(*kind.columns, "first")
+        .where("least <> last")
+        .select(*kind.columns, F.col("least").alias("first"))
     )
+    return met.unionByName(aggregated(positions.where(hot)))
 
 
-def double(positions: DataFrame, size: int, threshold: int, kind=Named) -> DataFrame:
-    """Ranks (position, first) at `threshold` from those at `size`, both without lone positions."""
+def double(positions: DataFrame, size: int, threshold: int, kind=Named, hot: Column | None = None) -> DataFrame:
+    """Ranks (position, first) at `threshold` from those at `size`, both without lone positions; hot as in rerank, by first and then."""
     while size < threshold:
         step = min(size, threshold - size)
         ahead = Window.partitionBy(*kind.sequence).orderBy(kind.pos).rangeBetween(step, step)
         pairs = _with_sequence(positions, kind).withColumn("then", F.min("first").over(ahead)).where("then IS NOT NULL")
-        positions = rerank(pairs.select(*kind.columns, "first", "then"), ["first", "then"], kind)
+        positions = rerank(pairs.select(*kind.columns, "first", "then"), ["first", "then"], kind, hot)
         size += step
     return positions
 

@@ -126,6 +126,31 @@ _ABLATIONS = "\nUNION ALL\n".join(
 )
 
 
+def _line_runs(n: int) -> str:
+    """Runs of repeated lines that begin and end at n lines: joined where n + 1 lines repeat."""
+    key = lambda k: ", ".join(["line", *[f"l{i}" for i in range(1, k)]])
+    return f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+  FROM documents),
+w AS (SELECT doc_id, pos, line, {", ".join(f"lead(line, {i}) OVER (PARTITION BY doc_id ORDER BY pos) AS l{i}" for i in range(1, n + 1))} FROM l),
+f AS (
+  SELECT doc_id, pos, first_value(doc_id) OVER same AS fd, first_value(pos) OVER same AS fp,
+    l{n} IS NOT NULL AND row_number() OVER longer > 1 AS goes_on
+  FROM w {f"WHERE l{n - 1} IS NOT NULL" if n > 1 else ""}
+  WINDOW same AS (PARTITION BY {key(n)} ORDER BY doc_id, pos), longer AS (PARTITION BY {key(n + 1)} ORDER BY doc_id, pos)),
+c AS (
+  SELECT *, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) = pos - 1 AND lag(goes_on) OVER (PARTITION BY doc_id ORDER BY pos) AS joined
+  FROM f WHERE fd <> doc_id OR fp <> pos),
+r AS (SELECT *, sum((NOT coalesce(joined, false))::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c),
+g AS (
+  SELECT doc_id, run, min(pos) AS s, max(pos) + {n - 1} AS e, arg_min(fd, pos) AS sd, arg_min(fp, pos) AS sl
+  FROM r GROUP BY doc_id, run)
+SELECT g.doc_id, s::INT AS start_line, e::INT AS end_line, (e - s + 1)::INT AS n_lines, sum(length(line))::INT AS n_chars,
+  sd AS source_doc_id, sl::INT AS source_line
+FROM g JOIN l ON l.doc_id = g.doc_id AND l.pos BETWEEN s AND e
+GROUP BY g.doc_id, s, e, sd, sl, run HAVING sum(length(line)) >= {line_dedup.MIN_CHARS}"""
+
 
 def mixing_sql(documents: str) -> str:
     """The mix of a relation (doc_id, source, text) with the default parameters."""
@@ -164,43 +189,8 @@ SELECT doc_id, source, n_tokens, weight, epoch::INT AS epoch, block, {hashed(str
 ORACLES: dict[str, str] = {
     "op8_quality_rules": _LEDGER + "SELECT *, " + ", ".join(f"failed & {m} = 0 AS keep_{v}" for v, m in quality.POLICIES.items()) + " FROM l",
     "op8_ablations": _LEDGER + _ABLATIONS,
-    "op2_line_dedup": f"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
-  FROM documents),
-w AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS following FROM l),
-f AS (
-  SELECT doc_id, pos, first_value(doc_id) OVER same AS fd, first_value(pos) OVER same AS fp
-  FROM w WHERE following IS NOT NULL WINDOW same AS (PARTITION BY line, following ORDER BY doc_id, pos)),
-c AS (
-  SELECT *, pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 2 AS opens
-  FROM f WHERE fd <> doc_id OR fp <> pos),
-r AS (SELECT *, sum(coalesce(opens, true)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c),
-g AS (
-  SELECT doc_id, run, min(pos) AS s, max(pos) + 1 AS e, arg_min(fd, pos) AS sd, arg_min(fp, pos) AS sl
-  FROM r GROUP BY doc_id, run)
-SELECT g.doc_id, s::INT AS start_line, e::INT AS end_line, (e - s + 1)::INT AS n_lines, sum(length(line))::INT AS n_chars,
-  sd AS source_doc_id, sl::INT AS source_line
-FROM g JOIN l ON l.doc_id = g.doc_id AND l.pos BETWEEN s AND e
-GROUP BY ALL HAVING sum(length(line)) >= {line_dedup.MIN_CHARS}""",
-    "op2_single_lines": f"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
-  FROM documents),
-f AS (
-  SELECT doc_id, pos, first_value(doc_id) OVER same AS fd, first_value(pos) OVER same AS fp
-  FROM l WINDOW same AS (PARTITION BY line ORDER BY doc_id, pos)),
-c AS (
-  SELECT *, pos > lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) + 1 AS opens
-  FROM f WHERE fd <> doc_id OR fp <> pos),
-r AS (SELECT *, sum(coalesce(opens, true)::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c),
-g AS (
-  SELECT doc_id, run, min(pos) AS s, max(pos) AS e, arg_min(fd, pos) AS sd, arg_min(fp, pos) AS sl
-  FROM r GROUP BY doc_id, run)
-SELECT g.doc_id, s::INT AS start_line, e::INT AS end_line, (e - s + 1)::INT AS n_lines, sum(length(line))::INT AS n_chars,
-  sd AS source_doc_id, sl::INT AS source_line
-FROM g JOIN l ON l.doc_id = g.doc_id AND l.pos BETWEEN s AND e
-GROUP BY ALL HAVING sum(length(line)) >= {line_dedup.MIN_CHARS}""",
+    "op2_line_dedup": _line_runs(2),
+    "op2_single_lines": _line_runs(1),
     "op7_ngram_jaccard": f"""
 WITH RECURSIVE t AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE text IS NOT NULL),
 g AS (
