@@ -7,6 +7,7 @@ notices; around every hit the regex library's bounded-error matching decides, an
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -15,7 +16,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: (licence, notice); compared without regard to case, any white space as a space.
+from .common import Apart
+
+#: (licence, notice); compared without regard to case, any run of white space as a space.
 NOTICES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -44,19 +47,30 @@ def edits(notice: str, chars_per_edit: int = CHARS_PER_EDIT) -> int:
     return max(1, len(notice) // chars_per_edit)
 
 
-def plain(text: str) -> str:
-    """Lower case with spaces for white space, every character at its place."""
+_BLANKS = regex.compile(r"\s{2,}|[^\S ]")
+
+
+def plain(text: str) -> tuple[str, list[int], list[int]]:
+    """Lower case with one space for a run of white space; and, for places in it, where a shift begins and how far the text's place is ahead."""
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
-    return low.replace("\n", " ").replace("\t", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\xa0", " ")
+    out, at, shift, begins, shifts = [], 0, 0, [0], [0]
+    for m in _BLANKS.finditer(low):
+        out.append(low[at : m.start()])
+        at = m.end()
+        if (n := m.end() - m.start()) > 1:
+            begins.append(m.start() + 1 - shift)
+            shift += n - 1
+            shifts.append(shift)
+    return " ".join([*out, low[at:]]), begins, shifts
 
 
 class Finder:
     def __init__(self, notices=NOTICES, chars_per_edit: int = CHARS_PER_EDIT):
         self.notices, self.patterns, pieces = notices, [], {}
         for i, (_, notice) in enumerate(notices):
-            s, k = plain(notice), edits(notice, chars_per_edit)
+            s, k = plain(notice)[0], edits(notice, chars_per_edit)
             self.patterns.append((len(s), k, regex.compile(f"(?b)(?:{regex.escape(s, literal_spaces=True)}){{e<={k}}}")))
             cuts = [round(j * len(s) / (k + 1)) for j in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
@@ -68,33 +82,23 @@ class Finder:
 
     def __call__(self, text: str) -> list[tuple[int, int, int, int]]:
         """(start, end, notice, edits) without overlaps: of two that overlap, the one with fewer edits stays, then the longer, then the earlier notice."""
-        s = plain(text)
-        areas: dict[int, list[list[int]]] = {}
+        s, begins, shifts = plain(text)
+        # one window for each place that a piece puts the notice at; it has room for one occurrence
+        windows = set()
         for end, where in self.seeds.iter(s):
             for i, offset, size in where:
                 n, k, _ = self.patterns[i]
                 start = end + 1 - size - offset
-                a, b = max(0, start - k), min(len(s), start + n + k)
-                mine = areas.setdefault(i, [])
-                if mine and a <= mine[-1][1]:
-                    mine[-1][0], mine[-1][1] = min(a, mine[-1][0]), max(b, mine[-1][1])
-                else:
-                    mine.append([a, b])
-        hits = []
-        for i, mine in areas.items():
-            open_ = [tuple(x) for x in mine]
-            while open_:
-                a, b = open_.pop()
-                n, k, pattern = self.patterns[i]
-                if b - a < n - k or not (m := pattern.search(s, a, b)) or m.end() == m.start():
-                    continue
-                hits.append((sum(m.fuzzy_counts), -(m.end() - m.start()), i, m.start(), m.end()))
-                open_ += [(a, m.start()), (m.end(), b)]
-        out: list[tuple[int, int, int, int]] = []
-        for e, _, i, a, b in sorted(hits):
-            if all(b <= x or a >= y for x, y, _, _ in out):
-                out.append((a, b, i, e))
-        return sorted(out)
+                windows.add((i, max(0, start - k), min(len(s), start + n + k)))
+        hits = set()
+        for i, a, b in windows:
+            n, k, pattern = self.patterns[i]
+            if b - a >= n - k and (m := pattern.search(s, a, b)) and m.end() > m.start():
+                hits.add((sum(m.fuzzy_counts), m.start() - m.end(), i, m.start(), m.end()))
+        chosen = Apart()
+        place = lambda x: x + shifts[bisect_right(begins, x) - 1]
+        # a span ends behind its last character, not where white space after it ends
+        return sorted((place(a), place(b - 1) + 1, i, e) for e, _, i, a, b in sorted(hits) if chosen.add(a, b))
 
 
 def _scan(notices, chars_per_edit: int):
@@ -120,8 +124,9 @@ def _scan(notices, chars_per_edit: int):
 def scan(docs: DataFrame, notices=NOTICES, chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
     """(doc_id, license, notice, start, end, edits, span) of every notice found in docs(doc_id, text).
 
-    start and end count characters, end excluded; notice is the number of the notice.  Null and empty texts have none;
-    repeated rows give repeated results; null doc_ids stay null.
+    start and end count characters of the text as it is, end excluded; notice is the number of the notice.  Null and empty texts have none;
+    repeated rows give repeated results; null doc_ids stay null.  A text is searched whole, however long; a notice may be wrapped and
+    indented, for white space of any length is one space and no edit.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text").where("text IS NOT NULL")

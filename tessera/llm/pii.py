@@ -15,6 +15,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Apart, Overlaps
+
 #: Characters before and after a span in which context words count.
 REACH = 60
 #: Spans of a lower score are not reported.
@@ -94,14 +96,18 @@ KINDS = (
     Kind("email", r"(?<![\w.+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w-])", None, 0.9, "mail contact write", "noreply"),
     Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", iban, 0.9, "iban account bank konto compte cuenta", ""),
     Kind("secret", r"(?i)(?<![\w])(?:api[_-]?key|secret|token|passw(?:or)?d)[\"']?\s*[:=]\s*[\"']?[A-Za-z0-9_\-/+]{20,}", secret, 0.9, "auth bearer key", ""),
+    Kind("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])|(?<![A-Za-z0-9_])(?:gh[oprsu]_[A-Za-z0-9]{36,255}|github_pat_[A-Za-z0-9_]{22,255}|glpat-[A-Za-z0-9_-]{20,255}|xox[abprs]-[A-Za-z0-9-]{10,255}|sk_live_[A-Za-z0-9]{16,255}|AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])", None, 0.9, "", ""),
+    Kind("private_key", r"-----BEGIN (?:[A-Z0-9]{1,20} ){0,3}PRIVATE KEY(?: BLOCK)?-----(?:[A-Za-z0-9+/=\s]*+-----END (?:[A-Z0-9]{1,20} ){0,3}PRIVATE KEY(?: BLOCK)?-----)?", None, 1.0, "", ""),
     Kind("card", r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]|\.[0-9])", card, 0.8, "card visa mastercard credit payment karte carte tarjeta", "order invoice isbn tracking"),
     Kind("us_ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", us_ssn, 0.6, "ssn social security", "part order"),
     Kind("ipv4", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])", ipv4, 0.7, "ip address host server client", "version release"),
     Kind("phone", r"(?<![\w.+-])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![\w-])|(?<![\w.+-])\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![\w-])|(?<![\w.+-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![\w-])", phone, 0.7, "phone call tel mobile fax telefon", "order id", national),
+    # without a country's number only next to words that say so
+    Kind("phone", r"(?<![\w.+/-])\(?0[1-9][0-9]{0,3}\)?[ /-][0-9]{3,8}(?:[ -][0-9]{2,6}){0,3}(?![\w-]|[.,][0-9])", phone, 0.4, "phone call tel telephone mobile fax telefon", "order id"),
 )
 CONTEXT = 0.1
 #: True wherever one of KINDS proposes anything.
-PREFILTER = r"@|[0-9](?:[ .()-]{0,3}[0-9]){3}|[A-Z]{2}[0-9]{2}|(?i:key|secret|token|passw)"
+PREFILTER = r"@|[0-9](?:[ .()/-]{0,3}[0-9]){3}|[A-Z]{2}[0-9]{2}|(?i:key|secret|token|passw)|A[KS]IA|gh[oprsu]_|github_pat_|glpat-|xox[abprs]-|sk_live_|AIza"
 
 
 class Finder:
@@ -120,7 +126,7 @@ class Finder:
         leaves alone the spans of other kinds in taken, then the longest.
         """
         kind, pattern = self.kinds[rank][:2]
-        pos = 0
+        pos, met = 0, Overlaps(taken)
         while m := pattern.search(text, pos):
             a, b = m.span()
             if kind.valid is not None and not kind.valid(m[0]):
@@ -131,8 +137,7 @@ class Finder:
                 if not ends:
                     pos = a + 1
                     continue
-                free = lambda e: all(e <= x or a >= y for x, y in taken)
-                b = max(ends, key=lambda e: (bool(kind.likely and kind.likely(text[a:e])), free(e), e))
+                b = max(ends, key=lambda e: (bool(kind.likely and kind.likely(text[a:e])), not met(a, e), e))
             yield a, b
             pos = b
 
@@ -146,11 +151,8 @@ class Finder:
                 score += CONTEXT * bool(plus and plus.search(near)) - 3 * CONTEXT * bool(minus and minus.search(near))
                 if score >= self.min_score - 1e-9:
                     hits.append((-round(min(score, 1.0), 3), rank, a, b))
-        out: list[tuple[int, int, str, float]] = []
-        for s, rank, a, b in sorted(hits):
-            if all(b <= x or a >= y for x, y, _, _ in out):
-                out.append((a, b, self.kinds[rank][0].name, -s))
-        return sorted(out)
+        chosen = Apart()
+        return sorted((a, b, self.kinds[rank][0].name, -s) for s, rank, a, b in sorted(hits) if chosen.add(a, b))
 
 
 def _scan(min_score: float):
@@ -177,7 +179,7 @@ def scan(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """(doc_id, kind, start, end, value, score) of every confirmed span in docs(doc_id, text).
 
     start and end count characters, end excluded.  Null and empty texts have none; repeated rows give repeated results; null
-    doc_ids stay null.
+    doc_ids stay null.  A text is searched whole, however long; of spans that tie, the earlier kind and then the earlier span stays.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text").where(F.col("text").rlike(PREFILTER))
