@@ -35,11 +35,11 @@ from .common import fresh, staged
 
 N, THRESHOLD = 3, 0.5
 #: Grams that a part holds on average; what a task needs of memory follows from it.
-PART_GRAMS = 2_000_000
+PART_GRAMS = 1_000_000
 #: Grams in at least so many contents are hot; so many of them, the most frequent, are sent to every task at most.
 HOT, MAX_HOT = 50_000, 1_000_000
 #: Grams gathered before a task passes them on.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
 #: Contents in a block of comparisons.
 BLOCK = 1024
 #: Ids are broadcast up to so many, and joined by shuffle beyond.
