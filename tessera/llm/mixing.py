@@ -19,7 +19,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -98,27 +98,12 @@ def digest(*parts):
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
-def mix(
-    docs: DataFrame,
-    target_entropy: float = TARGET_ENTROPY,
-    max_repeats: float = MAX_REPEATS,
-    budget_tokens: int | None = None,
-    block_tokens: int = BLOCK_TOKENS,
-    seed: int = SEED,
-) -> DataFrame:
-    """(doc_id, source, n_tokens, weight, epoch, block, place) of every document drawn into the mix.
-
-    Sorting by (block, place) gives the training order.  budget_tokens is by
-    default the number of tokens of the corpus.  A document is drawn into an
-    epoch if its first token lies within the source's budget.  A null source is a source of
-    its own; documents without tokens, null texts among them, are never drawn; rows with null doc_id
-    are drawn like others.  Repeated rows are separate documents.  Orders with equal hashes go
-    by doc_id.
-    """
-    spark = docs.sparkSession
-    narrow = docs.select("doc_id", "source", n_tokens().alias("n_tokens")).where("n_tokens > 0")
-    narrow = staged(narrow, "lengths")
-    sources = narrow.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n_tokens").alias("tokens"))
+def _drawn(docs: DataFrame, tokens, target_entropy: float, max_repeats: float, budget_tokens: int | None, block_tokens: int, seed: int) -> DataFrame:
+    """mix() with `mark`, which stands for the text, `copies`, the rows equal to this one in doc_id, source and text, and `occurrence`, which of them it is."""
+    counted = F.explode(F.array((n_tokens() if tokens is None else F.coalesce(tokens, F.lit(0))).cast("long"))).alias("n_tokens")
+    rows = docs.select("doc_id", "source", F.md5("text").alias("mark"), counted).where("n_tokens > 0")
+    narrow = staged(rows.groupBy("doc_id", "source", "mark", "n_tokens").agg(F.count(F.lit(1)).alias("copies")), "lengths")
+    sources = narrow.groupBy("source").agg(F.sum("copies").alias("docs"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"))
     weights = staged(weigh(sources, target_entropy, max_repeats, budget_tokens), "weights")
     total = weights.agg(F.sum("budget")).first()[0] or 0
     blocks = max(1, math.ceil(total / block_tokens))
@@ -126,20 +111,23 @@ def mix(
         weights = F.broadcast(weights)
 
     # one row for each document and epoch; positions in the permutation by a seeded hash
-    order = digest(F.lit(seed), F.col("epoch"), F.col("doc_id"))
+    this = (F.coalesce(F.col("doc_id").cast("string"), "mark"), F.col("occurrence"))
     parts = F.ceil(F.col("docs") / PART_DOCS)
+    epochs = F.sequence(F.lit(0), F.floor((F.col("budget") - 1) / F.col("tokens")).cast("int"))
     drawn = (
         narrow.join(weights.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
         .where("budget > 0")
-        .select("doc_id", "source", "n_tokens", "tokens", "weight", "budget", "docs", F.explode(F.sequence(F.lit(0), F.floor((F.col("budget") - 1) / F.col("tokens")).cast("int"))).alias("epoch"))
-        .withColumn("order", order)
+        .select("doc_id", "source", "mark", "copies", "n_tokens", "tokens", "weight", "budget", "docs", epochs.alias("epochs"), F.explode(F.sequence(F.lit(0), (F.col("copies") - 1).cast("int"))).alias("occurrence"))
+        .withColumn("epoch", F.explode("epochs"))
+        .drop("epochs")
+        .withColumn("order", digest(F.lit(seed), F.col("epoch"), *this))
         .withColumn("part", F.floor(F.col("order") * parts / 2**32).cast("long"))
     )
     # running sums in two steps, so that no task holds a whole source
     sums = drawn.groupBy("source", "epoch", "part").agg(F.sum("n_tokens").alias("sum"))
     before = Window.partitionBy("source", "epoch").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = staged(sums.select(F.col("source").alias("s"), F.col("epoch").alias("e"), F.col("part").alias("p"), F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("ahead")), "parts")
-    within = Window.partitionBy("source", "epoch", "part").orderBy("order", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "epoch", "part").orderBy("order", "doc_id", "n_tokens", "mark", "occurrence").rowsBetween(Window.unboundedPreceding, -1)
     if sums.count() <= BROADCAST_SOURCES:
         sums = F.broadcast(sums)
     first = F.col("epoch") * F.col("tokens") + F.col("ahead") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))
@@ -149,23 +137,64 @@ def mix(
         .withColumn("first", first)
         .where("first < budget")
         .withColumn("block", F.floor(F.col("first").cast("double") * blocks / F.col("budget")).cast("long"))
-        .select("doc_id", "source", "n_tokens", "weight", "epoch", "block", digest(F.lit(seed + 1), F.col("block"), F.col("epoch"), F.col("doc_id")).alias("place"))
+        .withColumn("place", digest(F.lit(seed + 1), F.col("block"), F.col("epoch"), *this))
     )
 
 
-def mix_documents(docs: DataFrame, **parameters) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    target_entropy: float = TARGET_ENTROPY,
+    max_repeats: float = MAX_REPEATS,
+    budget_tokens: int | None = None,
+    block_tokens: int = BLOCK_TOKENS,
+    seed: int = SEED,
+    tokens: Column | None = None,
+) -> DataFrame:
+    """(doc_id, source, n_tokens, weight, epoch, block, place) of every document drawn into the mix.
+
+    Sorting by (block, place) gives the training order.  budget_tokens is by
+    default the number of tokens of the corpus.  tokens gives a document's tokens, such as a column of counts by a tokenizer; by default they are runs
+    of anything but white space, which says little of languages written without it.  A document is drawn into an
+    epoch if its first token lies within the source's budget.  A null source is a source of
+    its own; documents without tokens, null texts among them, are never drawn; rows with null doc_id
+    are drawn like others, in the order of their texts' digests.  Repeated rows are separate documents.  Orders with equal hashes go
+    by doc_id.
+    """
+    return _drawn(docs, tokens, target_entropy, max_repeats, budget_tokens, block_tokens, seed).select("doc_id", "source", "n_tokens", "weight", "epoch", "block", "place")
+
+
+def mix_documents(
+    docs: DataFrame,
+    target_entropy: float = TARGET_ENTROPY,
+    max_repeats: float = MAX_REPEATS,
+    budget_tokens: int | None = None,
+    block_tokens: int = BLOCK_TOKENS,
+    seed: int = SEED,
+    tokens: Column | None = None,
+) -> DataFrame:
     """The documents drawn, each as often as drawn, with the columns of docs and mix_epoch, mix_block and mix_place.
 
-    Existing columns of these names keep theirs; the new ones then end in an underscore. Rows that agree in
-    doc_id, source and length are drawn together.
+    Existing columns of these names keep theirs; the new ones then end in an underscore.  Every row of mix() is one row here.  Rows that
+    agree in doc_id, source and text are numbered as they come, and each is drawn as its number is.
     """
     names = {c: fresh(docs, f"mix_{c}") for c in ("epoch", "block", "place")}
-    doc, length, source = fresh(docs, "drawn_doc"), fresh(docs, "drawn_tokens"), fresh(docs, "drawn_source")
-    drawn = mix(docs, **parameters).select(
-        F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("n_tokens").alias(length), *[F.col(c).alias(n) for c, n in names.items()]
-    )
-    drawn = staged(drawn.groupBy(doc, source, length, names["epoch"]).agg(F.min(names["block"]).alias(names["block"]), F.min(names["place"]).alias(names["place"])), "drawn")
-    same = docs["doc_id"].eqNullSafe(F.col(doc)) & docs["source"].eqNullSafe(F.col(source)) & (n_tokens() == F.col(length))
+    doc, mark, source, copies, nth, entries, mine = (fresh(docs, f"drawn_{c}") for c in ("doc", "mark", "source", "copies", "occurrence", "entries", "number"))
+    drawn = _drawn(docs, tokens, target_entropy, max_repeats, budget_tokens, block_tokens, seed)
+    keys = {"doc_id": doc, "source": source, "mark": mark, "occurrence": nth}
+    drawn = drawn.groupBy(*[F.col(c).alias(n) for c, n in keys.items()]).agg(F.first("copies").alias(copies), F.collect_list(F.struct(*[F.col(c).alias(n) for c, n in names.items()])).alias(entries))
+    drawn = staged(drawn, "drawn")
     if drawn.count() <= BROADCAST_SOURCES:
         drawn = F.broadcast(drawn)
-    return docs.join(drawn, same).select(*[docs[f"`{c}`"] for c in docs.columns], *names.values())
+    same = docs["doc_id"].eqNullSafe(F.col(doc)) & docs["source"].eqNullSafe(F.col(source)) & (F.md5(docs["text"]) == F.col(mark))
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    out = docs.join(drawn.where(F.col(copies) == 1), same).select(*own, F.inline(entries))
+    several = drawn.where(F.col(copies) > 1)
+    if several.isEmpty():
+        return out
+    # only repeated rows are moved to be numbered
+    repeated = docs.join(F.broadcast(several) if drawn.count() <= BROADCAST_SOURCES else several, same, "left_semi")
+    number = F.row_number().over(Window.partitionBy("doc_id", "source", F.md5("text")).orderBy(F.lit(0))) - 1
+    repeated = repeated.withColumn(mine, number)
+    same = repeated["doc_id"].eqNullSafe(F.col(doc)) & repeated["source"].eqNullSafe(F.col(source)) & (F.md5(repeated["text"]) == F.col(mark)) & (F.col(mine) == F.col(nth))
+    return out.unionByName(repeated.join(several, same).select(*own, F.inline(entries)))
+

@@ -161,7 +161,8 @@ def mixing_sql(documents: str) -> str:
     )
     return f"""
 WITH RECURSIVE n AS (
-  SELECT doc_id, source, len(regexp_extract_all(text, '[^ \\t\\r\\n]+'))::BIGINT AS n_tokens FROM ({documents})
+  SELECT doc_id, source, md5(text) AS mark, row_number() OVER (PARTITION BY doc_id, source, text) - 1 AS occurrence,
+    len(regexp_extract_all(text, '[^ \\t\\r\\n]+'))::BIGINT AS n_tokens FROM ({documents})
   WHERE len(regexp_extract_all(text, '[^ \\t\\r\\n]+')) > 0),
 s AS (SELECT source, sum(n_tokens)::BIGINT AS tokens FROM n GROUP BY source),
 p AS (SELECT list(tokens / (SELECT sum(tokens) FROM s) ORDER BY tokens) AS p FROM s),
@@ -176,14 +177,14 @@ z AS (SELECT x, total, list_sum(list_transform(p.p, lambda q: pow(q, x))) AS z F
 w AS (SELECT source, tokens, total, round(pow(tokens / total, x) / z, 9) AS weight, floor(round(pow(tokens / total, x) / z, 9) * total)::BIGINT AS budget FROM s, z),
 k AS (SELECT greatest(1, ceil(sum(budget) / {float(mixing.BLOCK_TOKENS)}))::BIGINT AS blocks FROM w),
 d AS (
-  SELECT n.doc_id, n.source, n_tokens, weight, tokens, budget, unnest(range(0, ((budget - 1) // tokens + 1)::BIGINT)) AS epoch
+  SELECT n.doc_id, n.source, mark, coalesce(doc_id::VARCHAR, mark) AS this, occurrence, n_tokens, weight, tokens, budget, unnest(range(0, ((budget - 1) // tokens + 1)::BIGINT)) AS epoch
   FROM n JOIN w ON n.source IS NOT DISTINCT FROM w.source WHERE budget > 0),
 o AS (
   SELECT *, epoch * tokens + coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch
-      ORDER BY {hashed(str(mixing.SEED), "epoch", "doc_id")}, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
+      ORDER BY {hashed(str(mixing.SEED), "epoch", "this", "occurrence")}, doc_id, n_tokens, mark, occurrence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first
   FROM d),
 f AS (SELECT *, floor(first::DOUBLE * blocks / budget)::BIGINT AS block FROM o, k WHERE first < budget)
-SELECT doc_id, source, n_tokens, weight, epoch::INT AS epoch, block, {hashed(str(mixing.SEED + 1), "block", "epoch", "doc_id")} AS place FROM f"""
+SELECT doc_id, source, n_tokens, weight, epoch::INT AS epoch, block, {hashed(str(mixing.SEED + 1), "block", "epoch", "this", "occurrence")} AS place FROM f"""
 
 
 ORACLES: dict[str, str] = {

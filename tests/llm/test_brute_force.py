@@ -1,7 +1,7 @@
 """Operators that SQL does not express, and whole lists of small cases, against plain programs."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 
 from tessera.llm.common import Apart, Overlaps
 from tessera.llm import decontaminate, doubling, jaccard, kernel, licenses, line_dedup, mixing, passage_dedup, pii, quality, token_counts
@@ -475,6 +476,28 @@ def test_mix_meets_its_budgets(spark):
     assert all(len(s) == 20 for s in seen)
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_repeated_ids_are_drawn_within_the_budget(spark, monkeypatch, broadcast):
+    """Equal ids with equal or other texts of one length, equal rows and null ids: the rows are those that mix() draws."""
+    if not broadcast:
+        monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    rows = [(1, "a b c", "x"), (1, "a b d", "x"), (1, "a b d", "x"), (2, "e f", "x"), (None, "g h i", "x"), (None, "g h i", "x"), (None, "j k l", None), (3, "m " * 30, "y"), (4, "", "y"), (5, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for budget in (4, 9, 30, 150):
+        drawn = mixing.mix(docs, budget_tokens=budget).collect()
+        got = mixing.mix_documents(docs, budget_tokens=budget).collect()
+        assert Counter((r.doc_id, r.source, r.epoch, r.block, r.place) for r in drawn) == Counter((r.doc_id, r.source, r.mix_epoch, r.mix_block, r.mix_place) for r in got)
+        assert all(n <= rows.count(k[:3]) for k, n in Counter((r.doc_id, r.text, r.source, r.mix_epoch) for r in got).items())
+    assert len(got) > len(rows) and len({r.place for r in drawn if r.doc_id is None}) > 2
+
+
+def test_tokens_of_a_tokenizer_may_weigh_the_sources(spark):
+    docs = spark.createDataFrame([(1, "漢字" * 200, "zh"), (2, "word " * 100, "en")], "doc_id long, text string, source string")
+    counted = docs.join(token_counts.count_tokens(docs).withColumnRenamed("n_tokens", "pieces"), "doc_id")
+    got = {r.source: r.n_tokens for r in mixing.mix(counted, tokens=F.col("pieces")).collect()}
+    assert got["zh"] > got["en"] > 90 and {r.source: r.n_tokens for r in mixing.mix(docs).collect()}["zh"] == 1
+
+
 def test_ablations_follow_from_bits(spark):
     docs = spark.createDataFrame(texts_of(), DOCS)
     marked = quality.ledger(docs)
