@@ -48,20 +48,29 @@ def op6_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passage_dedup.repeated_passages(table(spark, sf_dir, "documents")).drop("seq")
 
 
-def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as WARC files with some damage, one in eight of them plain, read back: a row for each recovered page and each gap."""
+def _worn_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC files with some damage, one in eight of them plain, and read back."""
     folder = shared_path(spark, "warc")
-    plain = F.col("page_id") % 8 == 0
-    for compress, part, size in ((True, ~plain, 500), (False, plain, 4000)):
+    plain = F.coalesce(F.col("page_id") % 8 == 0, F.lit(False))
+    for compress, part in ((True, ~plain), (False, plain)):
         pages = table(spark, sf_dir, "pages").where(part)
-        warc.write_pages(pages, folder, size, warc.wear, compress).write.format("noop").mode("overwrite").save()
+        # written once, by this action
+        warc.write_pages(pages, f"{folder}/{'gz' if compress else 'plain'}", damage=warc.wear, compress=compress).write.format("noop").mode("overwrite").save()
     rows = warc.read_warc(spark, folder)
     page = F.regexp_extract(F.col("headers")["warc-record-id"], r"^<urn:page:(-?\d+)>$", 1)
-    return rows.select(
-        F.regexp_extract("path", "[^/]+$", 0).alias("file"),
-        "kind", "offset", "length", page.try_cast("long").alias("page_id"),
-        F.col("headers")["warc-target-uri"].alias("url"), F.length(F.col("block").cast("string")).alias("n_chars"), "reason",
-    )
+    return rows.withColumns({"page_id": page.try_cast("long"), "url": F.col("headers")["warc-target-uri"], "html": F.col("block").cast("string")})
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each recovered page and each gap."""
+    return _worn_pages(spark, sf_dir).select(
+        F.regexp_extract("path", "[^/]+$", 0).alias("file"), "kind", "offset", "length", "page_id", "url", F.length("html").alias("n_chars"), "reason"
+    )
+
+
+def op3_recovered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages that op3_warc recovers, by what they hold."""
+    return _worn_pages(spark, sf_dir).where("kind = 'record'").select("page_id", "url", F.length("html").alias("n_chars"), F.md5("html").alias("digest"))
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op6_suffix_array": op6_suffix_array,
     "op3_warc": op3_warc,
+    "op3_recovered_pages": op3_recovered_pages,
     "op5_license_scan": op5_license_scan,
     "op9_pii": op9_pii,
     "op10_token_counts": op10_token_counts,
@@ -236,6 +246,9 @@ SELECT * FROM phrases
 UNION ALL
 SELECT item, doc, 'proximity', greatest(-best.back, 0)::INT, 0::INT, best.n::INT, total::INT FROM best
 WHERE NOT EXISTS (SELECT 1 FROM phrases WHERE item_id = item AND doc_id = doc)""",
+    "op3_recovered_pages": """
+SELECT page_id, coalesce(url, '') AS url, length(coalesce(html, ''))::INT AS n_chars, md5(coalesce(html, '')) AS digest FROM pages
+WHERE ('0x' || substr(md5(coalesce(page_id::VARCHAR, 'None')), 1, 4))::INT % 64 >= 2""",
     "op1_mixing": mixing_sql("SELECT doc_id, source, text FROM documents"),
     "op6_suffix_array": f"""
 WITH t AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
