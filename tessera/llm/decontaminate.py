@@ -30,12 +30,14 @@ from . import kernel
 from .common import fresh, staged
 
 PHRASE, RAREST, SHARE, SLACK = 13, 8, 0.75, 10
-#: Items of fewer tokens say too little to be searched for.
+#: Items of fewer tokens say too little for proximity, and for a document with their phrase to count as leaked.
 MIN_TOKENS = 6
 #: Test terms and candidate ids are sent to every task up to so many, and joined by shuffle beyond.
 MAX_TERMS, BROADCAST_IDS = 2_000_000, 4_000_000
 
-_SCHEMA = "doc long, pos int, term long"
+
+def _schema(texts: DataFrame) -> str:
+    return f"doc {texts.schema['doc'].dataType.simpleString()}, pos int, term long"
 
 
 def _all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,7 +85,7 @@ def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc, pos, term) of the given distinct terms in texts(doc, text)."""
     sent = _sent(texts, terms)
     if sent is None:
-        return texts.mapInArrow(_all_tokens, _SCHEMA).join(terms, "term", "left_semi").select("doc", "pos", "term")
+        return texts.mapInArrow(_all_tokens, _schema(texts)).join(terms, "term", "left_semi").select("doc", "pos", "term")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = membership(sent.value)
@@ -92,14 +94,14 @@ def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
                 h, _, _, rows = kernel.tokens(text, offsets)
                 yield _rows(batch, first, h, rows, find(h))
 
-    return texts.mapInArrow(run, _SCHEMA)
+    return texts.mapInArrow(run, _schema(texts))
 
 
 def frequencies(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, cf): occurrences of each of the distinct terms, zero included."""
     sent = _sent(texts, terms)
     if sent is None:
-        counted = texts.mapInArrow(_all_tokens, _SCHEMA).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
+        counted = texts.mapInArrow(_all_tokens, _schema(texts)).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
     else:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,37 +116,40 @@ def frequencies(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return terms.join(counted, "term", "left").select("term", F.coalesce("cf", F.lit(0)).alias("cf"))
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def matches(
+    docs: DataFrame, benchmark: DataFrame, phrase: int = PHRASE, rarest: int = RAREST, share: float = SHARE, slack: int = SLACK, min_tokens: int = MIN_TOKENS
+) -> DataFrame:
     """(item_id, doc_id, kind, start, item_start, n_matched, n_terms) of all phrase and proximity matches.
 
     start counts the document's tokens from 0.  For a phrase, n_matched of the
     item's n_terms tokens agree from item_start on; there is a row for every
-    maximal run.  A proximity row is given once for a document and item
-    without phrase match: n_matched of n_terms rarest terms, and start where they
+    maximal run of at least `phrase` tokens, or of the whole item where that is shorter, down to one token.  A proximity row is given once for a document and item
+    without phrase match, for items of at least min_tokens tokens: n_matched of the n_terms terms that are the item's `rarest`, at least `share` of them,
+    lie within `slack` tokens of where they should, and start is where they
     put the item's beginning (where most terms agree; the first such place).
 
-    Rows with a null id or text match nothing, nor do items of fewer than MIN_TOKENS tokens; repeated
+    Rows with a null id or text match nothing; repeated
     rows count once, and rows with one id and different texts are searched together, as if laid over each other.  Ties among
-    rarest terms go to the one that comes first in the item.
+    rarest terms go to the one that comes first in the item.  Ids may be of any type.
     """
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("doc"), "text").distinct()
-    tokens = items.mapInArrow(_all_tokens, _SCHEMA).select(F.col("doc").alias("item"), F.col("pos").alias("off"), "term").distinct()
+    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("doc"), "text")
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").alias("doc"), "text").distinct()
+    tokens = items.mapInArrow(_all_tokens, _schema(items)).select(F.col("doc").alias("item"), F.col("pos").alias("off"), "term").distinct()
     length = Window.partitionBy("item")
-    tokens = staged(tokens.withColumn("len", (F.max("off").over(length) + 1)).where(F.col("len") >= MIN_TOKENS), "items")
+    tokens = staged(tokens.withColumn("len", F.max("off").over(length) + 1), "items")
     terms = tokens.select("term").distinct()
     rated = staged(tokens.join(staged(frequencies(texts, terms), "frequencies"), "term"), "rated")
 
     # the two rarest positions of every window, and the rarest terms of every item
-    reach = F.least(F.lit(PHRASE), "len")
+    reach = F.least(F.lit(phrase), "len")
     window = rated.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("off") - reach + 1), F.least("off", F.col("len") - reach))).alias("window"))
     rank = F.row_number().over(Window.partitionBy("item", "window").orderBy("cf", "off"))
     anchors = window.withColumn("rank", rank).where("rank <= 2").select("item", "off", "term").distinct()
-    once = rated.groupBy("item", "term", "cf").agg(F.min("off").alias("at"))
-    rarest = once.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy("cf", "at"))).where(F.col("rank") <= RAREST)
-    rarest = rarest.join(rated.select("item", "term", "off"), ["item", "term"]).select("item", "off", "term")
+    once = rated.where(F.col("len") >= min_tokens).groupBy("item", "term", "cf").agg(F.min("off").alias("at"))
+    few = once.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy("cf", "at"))).where(F.col("rank") <= rarest)
+    few = few.join(rated.select("item", "term", "off"), ["item", "term"]).select("item", "off", "term")
     probes = staged(
-        anchors.withColumn("anchor", F.lit(True)).unionByName(rarest.withColumn("anchor", F.lit(False))).groupBy("item", "off", "term").agg(
+        anchors.withColumn("anchor", F.lit(True)).unionByName(few.withColumn("anchor", F.lit(False))).groupBy("item", "off", "term").agg(
             F.max("anchor").alias("anchor"), F.max(~F.col("anchor")).alias("rare")
         ),
         "probes",
@@ -152,22 +157,24 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     index = staged(postings(texts, probes.select("term").distinct()), "index")
     placed = index.join(probes, "term").select("doc", "item", (F.col("pos") - F.col("off")).alias("base"), "off", "term", "anchor", "rare").distinct()
 
-    # starts on which two anchors of a window agree
+    # starts on which two anchors of a window agree, or the only one
     diagonal = Window.partitionBy("doc", "item", "base").orderBy("off")
     short = rated.select("item", reach.alias("reach")).distinct()
     agreed = (
         placed.where("anchor")
         .withColumn("gap", F.col("off") - F.lag("off").over(diagonal))
-        .where("gap IS NOT NULL")
         .join(short, "item")
-        .where("gap < reach")
+        .where("gap < reach OR reach = 1")
         .select("doc", "item", "base")
         .distinct()
     )
     agreed = staged(agreed, "candidates")
     ids = agreed.select("doc").distinct()
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    full = postings(texts.join(wanted, "doc", "left_semi"), terms).distinct()
+    # beyond the bound of a broadcast, postings are moved and not texts
+    if ids.count() <= BROADCAST_IDS:
+        full = postings(texts.join(F.broadcast(ids), "doc", "left_semi"), terms).distinct()
+    else:
+        full = postings(texts, terms).join(ids, "doc", "left_semi").distinct()
     on_line = (
         agreed.join(tokens, "item")
         .select("doc", "item", "base", "off", "len", "term", (F.col("base") + F.col("off")).alias("pos"))
@@ -177,7 +184,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         on_line.withColumn("run", F.col("off") - F.row_number().over(diagonal))
         .groupBy("doc", "item", "base", "run", "len")
         .agg(F.min("off").alias("first"), F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= F.least(F.lit(PHRASE), "len"))
+        .where(F.col("n") >= F.least(F.lit(phrase), "len"))
     )
     phrases = runs.select(
         F.col("item").alias("item_id"), F.col("doc").alias("doc_id"), F.lit("phrase").alias("kind"),
@@ -186,13 +193,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
     phrases = staged(phrases, "phrases")
 
-    near = Window.partitionBy("doc", "item").orderBy("base").rangeBetween(0, SLACK)
-    wanted_terms = rarest.groupBy("item").agg(F.countDistinct("term").alias("of"))
+    near = Window.partitionBy("doc", "item").orderBy("base").rangeBetween(0, slack)
+    wanted_terms = few.groupBy("item").agg(F.countDistinct("term").alias("of"))
     close = (
         placed.where("rare")
         .withColumn("n", F.size(F.collect_set("term").over(near)))
         .join(wanted_terms, "item")
-        .where(F.col("n") >= F.col("of") * SHARE)
+        .where(F.col("n") >= F.col("of") * share)
         .groupBy("doc", "item", "of")
         .agg(F.max(F.struct(F.col("n"), (-F.col("base")).alias("back"))).alias("best"))
     )
@@ -204,10 +211,12 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return phrases.unionByName(proximity.join(phrases, ["item_id", "doc_id"], "left_anti"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that match an item, columns unchanged; rows with null doc_id or text stay."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, min_tokens: int = MIN_TOKENS, **parameters) -> DataFrame:
+    """docs without those that match an item of at least min_tokens tokens, columns unchanged; rows with null doc_id or text stay."""
     name = fresh(docs, "leaked")
-    leaked = staged(matches(docs, benchmark).select(F.col("doc_id").alias(name)).distinct(), "leaked")
+    # of shorter items only whole ones match, as phrases
+    found = matches(docs, benchmark, min_tokens=min_tokens, **parameters).where((F.col("kind") == "proximity") | (F.col("n_terms") >= min_tokens))
+    leaked = staged(found.select(F.col("doc_id").alias(name)).distinct(), "leaked")
     if leaked.count() <= BROADCAST_IDS:
         leaked = F.broadcast(leaked)
     return docs.join(leaked, docs["doc_id"] == F.col(name), "left_anti")

@@ -223,8 +223,7 @@ SELECT doc_id, coalesce(class_id, doc) AS class_id, (copies - 1 + coalesce(n, 0)
 FROM m LEFT JOIN class USING (doc) LEFT JOIN links USING (doc) WHERE copies > 1 OR n IS NOT NULL""",
     "op4_decontamination": f"""
 WITH dt AS (SELECT doc_id AS doc, unnest({_TOKENS}) AS term, generate_subscripts({_TOKENS}, 1) - 1 AS pos FROM documents),
-bt AS (SELECT item_id AS item, unnest({_TOKENS}) AS term, generate_subscripts({_TOKENS}, 1) - 1 AS off, len({_TOKENS}) AS len FROM benchmark
-  WHERE len({_TOKENS}) >= {decontaminate.MIN_TOKENS}),
+bt AS (SELECT item_id AS item, unnest({_TOKENS}) AS term, generate_subscripts({_TOKENS}, 1) - 1 AS off, len({_TOKENS}) AS len FROM benchmark),
 cf AS (SELECT term, (SELECT 0) + count(pos) AS cf FROM (SELECT DISTINCT term FROM bt) LEFT JOIN dt USING (term) GROUP BY term),
 placed AS (SELECT doc, item, pos - off AS base, off, len, term FROM dt JOIN bt USING (term)),
 runs AS (SELECT *, off - row_number() OVER (PARTITION BY doc, item, base ORDER BY off) AS run FROM placed),
@@ -234,7 +233,7 @@ phrases AS (
   FROM runs GROUP BY doc, item, base, run, len HAVING count(*) >= least({decontaminate.PHRASE}, len)),
 rare AS (
   SELECT item, term, row_number() OVER (PARTITION BY item ORDER BY cf, place) AS rank
-  FROM (SELECT item, term, cf, min(off) AS place FROM bt JOIN cf USING (term) GROUP BY item, term, cf)
+  FROM (SELECT item, term, cf, min(off) AS place FROM bt JOIN cf USING (term) WHERE len >= {decontaminate.MIN_TOKENS} GROUP BY item, term, cf)
   QUALIFY rank <= {decontaminate.RAREST}),
 sizes AS (SELECT item, count(*) AS total FROM rare GROUP BY item),
 close AS (
