@@ -33,6 +33,18 @@ class Named:
         return F.struct("doc_id", "seq", "pos")
 
 
+class Placed:
+    """Positions as (content, pos)."""
+
+    columns = ("content", "pos")
+    sequence = ("content",)
+    pos = "pos"
+
+    @staticmethod
+    def here() -> Column:
+        return F.struct("content", "pos")
+
+
 class Numbered:
     """Positions as one whole number `at` = sequence number * SPAN + position, in the order of the sequences."""
 
@@ -77,17 +89,29 @@ def rerank(positions: DataFrame, key: list[str], kind=Named, hot: Column | None
     return met.unionByName(aggregated(positions.where(hot)))
 
 
-def double(positions: DataFrame, size: int, threshold: int, kind=Named, hot: Column | None = None) -> DataFrame:
-    """Ranks (position, first) at `threshold` from those at `size`, both without lone positions; hot as in rerank, by first and then."""
+def double(positions: DataFrame, size: int, threshold: int, kind=Named, hot: DataFrame | None = None) -> DataFrame:
+    """Ranks (position, first) at `threshold` from those at `size`, both without lone positions.
+
+    hot(hot) has the firsts at `size` that very many positions may have, if it is known that all others have fewer.
+    """
     while size < threshold:
         step = min(size, threshold - size)
         ahead = Window.partitionBy(*kind.sequence).orderBy(kind.pos).rangeBetween(step, step)
         pairs = _with_sequence(positions, kind).withColumn("then", F.min("first").over(ahead)).where("then IS NOT NULL")
-        positions = rerank(pairs.select(*kind.columns, "first", "then"), ["first", "then"], kind, hot)
+        flag = None
+        if hot is not None:
+            pairs, flag, hot = pairs.join(F.broadcast(hot), F.col("first") == F.col("hot"), "left"), F.col("hot").isNotNull(), None
+        positions = rerank(pairs, ["first", "then"], kind, flag)
         size += step
     return positions
 
 
+def hot_keys(counted: DataFrame, least: int, most: int) -> DataFrame:
+    """(hot): the hashes whose counts in counted(hash, n) come to `least`; of more than `most` of them the most frequent ones."""
+    total = counted.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return total.orderBy(F.desc("n"), "hash").limit(most).select(F.col("hash").alias("hot"))
+
+
 def later_runs(positions: DataFrame, threshold: int, kind=Named) -> DataFrame:
     """(sequence, start, end, first): maximal stretches of items, end included, that lie within later copies.
 

@@ -103,9 +103,8 @@ def _contents(n: int, least: int):
     """A row for each document with its content; rows without document give grams that many contents of a window have."""
 
     def frequent(grams: list[np.ndarray], contents: int) -> pa.RecordBatch:
-        g, count = np.unique(np.concatenate([np.zeros(0, _U), *grams]), return_counts=True)
-        many = count >= max(least, contents // 1000)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(many.sum(), -1)), pa.array(g[many].view(np.int64)), pa.array(count[many].astype(np.int32))], names=["row", "content", "size"])
+        g, count = kernel.often(grams, contents, least)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(g), -1)), pa.array(g.view(np.int64)), pa.array(count.astype(np.int32))], names=["row", "content", "size"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()

@@ -141,6 +141,13 @@ def distinct(row: np.ndarray, h: np.ndarray, n_rows: int) -> tuple[np.ndarray, n
     return h, np.searchsorted(row, np.arange(n_rows + 1))
 
 
+def often(hashes: list[np.ndarray], contents: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes that occur at least so many times and once per thousand contents, and how often they do."""
+    h, count = np.unique(np.concatenate([np.zeros(0, U), *hashes]), return_counts=True)
+    many = count >= max(least, contents // 1000)
+    return h[many], count[many]
+
+
 def hash_words(words: list[str]) -> np.ndarray:
     """Token hashes of given single tokens, as tokens() makes them."""
     column = pa.array(words, pa.large_string())

@@ -6,9 +6,13 @@ among the SEED-grams of any THRESHOLD tokens the one of least hash is their
 anchor, which depends on these tokens alone.  Two equal passages have equal
 anchors, so only windows whose anchor repeats somewhere take part.
 
+Nor do equal texts take part more than once: the least document with a text stands for it, and all the others are later copies from
+end to end.
+
 The rest is prefix doubling (see ``doubling``): ranks at START tokens, from
 hashes made where the text is, then sorted pairs (rank here, rank START tokens later),
-until a position is unique or the threshold is reached.
+until a position is unique or the threshold is reached.  Hashes that very many positions have are found first (see kernel.often), so
+that no task sorts all positions of one.
 """
 
 from __future__ import annotations
@@ -20,15 +24,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import dense_ids
 from . import doubling, kernel
 from .common import fresh, staged
-from .doubling import Numbered
+from .doubling import Numbered, Placed
 
 THRESHOLD, SEED = 50, 16
-#: Anchors are sent to every task up to so many documents, and joined by shuffle beyond.
+#: Bytes of anchors that are sent to every task at most; beyond, the texts that have some are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Lists of passages are broadcast up to so many documents, and joined by shuffle beyond.
 BROADCAST_DOCS = 300_000
-#: Documents per range of sequence numbers, at most 2^20.
-RANGE_DOCS = 250_000
+#: Hashes of at least so many positions are hot; so many of them, the most frequent, are sent to every task at most.
+HOT, MAX_HOT = 50_000, 1_000_000
+#: Hashes a task counts before it passes on the frequent ones.
+WINDOW = 2_000_000
+#: Bits that tell most texts without anchors from those with some.
+FILTER_BITS = 26
 
 
 def windows(h: np.ndarray, rows: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -49,97 +60,179 @@ def windows(h: np.ndarray, rows: np.ndarray, threshold: int) -> tuple[np.ndarray
     return start, row, at, g[at] if len(start) else g[:0]
 
 
-def _anchors(threshold: int):
+def _columns(names: list[str], *columns) -> pa.RecordBatch:
+    kinds = {"pos": pa.int32(), "kind": pa.int8()}
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int64())) for n, c in zip(names, columns)], names=names)
+
+
+def _anchors(threshold: int, least: int):
+    """Of every text of at least `threshold` tokens its anchors (kind 0) and its number of tokens (1, as pos); and frequent anchors (2, their count as pos).
+
+    A text that a task has seen is passed over.
+    """
+    names = ["content", "pos", "hash", "kind"]
+
+    def frequent(held: list[np.ndarray], texts: int) -> pa.RecordBatch:
+        h, n = kernel.often(held, texts, least)
+        return _columns(names, np.zeros(len(h), np.int64), n, h.view(np.int64), np.full(len(h), 2))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set = set()
+        held, texts = [], 0
         for batch in batches:
-            for first, text, offsets in kernel.chunks(batch.column(2)):
+            contents = batch.column(0).to_numpy()
+            for first, text, offsets in kernel.chunks(batch.column(1)):
                 h, _, _, rows = kernel.tokens(text, offsets)
+                mine, size = contents[first : first + len(offsets) - 1], np.diff(rows)
+                new = np.zeros(len(mine), bool)
+                for i, c in enumerate(mine.tolist()):
+                    if size[i] >= threshold and c not in seen:
+                        seen.add(c)
+                        new[i] = True
+                if len(seen) > 1_000_000:
+                    seen.clear()
                 _, row, at, g = windows(h, rows, threshold)
-                new = np.ones(len(at), bool)
-                new[1:] = at[1:] != at[:-1]
-                at, g, row = at[new], g[new], row[new]
-                take = pa.array(row + first)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array((at - rows[row]).astype(np.int32)), pa.array(g.view(np.int64))],
-                    names=["doc_id", "seq", "pos", "anchor"],
-                )
+                change = np.ones(len(at), bool)
+                change[1:] = at[1:] != at[:-1]
+                change &= new[row]
+                at, g, row = at[change], g[change], row[change]
+                yield _columns(names, mine[row], at - rows[row], g.view(np.int64), np.zeros(len(at)))
+                yield _columns(names, mine[new], size[new], np.zeros(new.sum(), np.int64), np.ones(new.sum()))
+                held.append(g)
+                texts += int(new.sum())
+                if sum(map(len, held)) > WINDOW:
+                    yield frequent(held, texts)
+                    held, texts = [], 0
+        yield frequent(held, texts)
 
-    return run, "doc_id long, seq long, pos int, anchor long"
+    return run, "content long, pos int, hash long, kind byte"
 
 
-def _ranks(threshold: int, start: int):
-    """Positions whose window's anchor repeats, and those a second half can begin at, with the hash of `start` tokens."""
+def _ranks(threshold: int, start: int, least: int):
+    """Positions whose window's anchor repeats, and those a second half can begin at, with the hash of `start` tokens; and frequent hashes with `at` as count."""
+    names = ["at", "hash", "kind"]
+
+    def frequent(held: list[np.ndarray], texts: int) -> pa.RecordBatch:
+        h, n = kernel.often(held, texts, least)
+        return _columns(names, n, h.view(np.int64), np.full(len(h), 2))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts = [], 0
         for batch in batches:
             numbers, anchors = batch.column(0).to_numpy(), batch.column(1)
             for first, text, offsets in kernel.chunks(batch.column(2)):
                 h, _, _, rows = kernel.tokens(text, offsets)
+                if np.diff(rows).max(initial=0) >= Numbered.SPAN:
+                    raise ValueError(f"a text has {Numbered.SPAN} tokens or more")
                 at, row, anchor, _ = windows(h, rows, threshold)
                 known = np.zeros(len(h) + 1, bool)
                 part = anchors.slice(first, len(offsets) - 1)
-                known[part.flatten().to_numpy() + np.repeat(rows[:-1], pa.compute.list_value_length(part).to_numpy())] = True
+                known[part.flatten().to_numpy() + np.repeat(rows[:-1], np.diff(part.offsets.to_numpy()))] = True
                 active = np.zeros(len(h) + 1, bool)
                 mine = known[anchor]
-                done = start
                 active[at[mine]] = True
-                while done < threshold:
-                    step = min(done, threshold - done)
-                    active[at[mine] + step] = True
-                    done += step
+                active[at[mine] + (threshold - start)] = True
                 pos, row = kernel.gram_rows(rows, start, len(h))
                 keep = active[pos]
                 pos, row = pos[keep], row[keep]
                 g = kernel.grams(h, start)[pos]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(numbers[row + first] * Numbered.SPAN + pos - rows[row]), pa.array(g.view(np.int64))], names=["at", "hash"]
-                )
+                yield _columns(names, numbers[row + first] * Numbered.SPAN + pos - rows[row], g.view(np.int64), np.zeros(len(g)))
+                held.append(g)
+                texts += len(offsets) - 1
+                if sum(map(len, held)) > WINDOW:
+                    yield frequent(held, texts)
+                    held, texts = [], 0
+        yield frequent(held, texts)
+
+    return run, "at long, hash long, kind byte"
 
-    return run, "at long, hash long"
 
+def _among(texts: DataFrame, contents: DataFrame) -> DataFrame:
+    """texts(doc_id, content, text) of which the content may be among the given ones; none that is goes."""
+    bit = F.col("content").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = contents.groupBy(F.shiftright(bit, 5).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(31)).cast("int"))).alias("bits"))
+    rows = words.toPandas()  # 2^21 at most
+    table = np.zeros(1 << (FILTER_BITS - 5), np.int64)
+    table[rows["word"]] = rows["bits"]
+    sent = texts.sparkSession.sparkContext.broadcast(table)
 
-def repeated_passages(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            b = batch.column(1).to_numpy() & ((1 << FILTER_BITS) - 1)
+            yield batch.filter(pa.array((sent.value[b >> 5] >> (b & 31)) & 1 == 1))
+
+    return texts.mapInArrow(run, texts.schema)
+
+
+def repeated_passages(
+    docs: DataFrame, threshold: int = THRESHOLD, hot: int = HOT, max_hot: int = MAX_HOT, broadcast_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
     """(doc_id, seq, start_token, end_token, n_tokens, source_doc_id, source_token) of every later copy.
 
     Tokens are numbered from 0 and end_token is included.  A row is a maximal stretch
     of tokens that lie in windows of `threshold` tokens, at least 2, which also begin at
     an earlier position, by doc_id and then token; the source is the earliest copy of the stretch's first window.
 
-    Null texts and texts of fewer than `threshold` tokens have no rows.  Repeated rows of one document count once; rows with
-    one doc_id and different texts are different documents, told apart by seq.  Null doc_ids come first.
+    Null texts and texts of fewer than `threshold` tokens have no rows; 2^28 tokens in one text, or 2^35 texts with repeats, are an error.  Repeated rows of one document count
+    once; rows with one doc_id and different texts are different documents, told apart by seq, a hash of the text.  Null doc_ids come first.
+    doc_id may be of any type with an order.
     """
     if threshold < 2:
         raise ValueError("threshold must be at least 2")
-    start = (threshold + 1) // 2
-    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("seq"), "text")
-    run, schema = _anchors(threshold)
-    repeated = doubling.rerank(texts.mapInArrow(run, schema), ["anchor"])
-    per_doc = staged(repeated.groupBy("doc_id", "seq").agg(F.collect_set("pos").alias("anchors")), "anchors")
-    n = per_doc.count()
-    ordered = per_doc.repartitionByRange(n // RANGE_DOCS + 1, "doc_id", "seq").sortWithinPartitions("doc_id", "seq")
-    serial = F.monotonically_increasing_id()
-    numbered = staged(
-        ordered.withColumn("serial", serial).select("doc_id", "seq", "anchors", (F.shiftright("serial", 33) * (1 << 20) + F.col("serial").bitwiseAND(F.lit((1 << 33) - 1))).alias("number")),
-        "numbers",
-    )
-    side = numbered.select("number", F.col("seq").alias("s"), F.col("doc_id").alias("d"), "anchors")
-    if n <= BROADCAST_DOCS:
+    start, least = (threshold + 1) // 2, max(2, min(16, hot))
+    texts = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("content"), "text")
+    run, schema = _anchors(threshold, least)
+    found = staged(texts.select("content", "text").mapInArrow(run, schema), "anchors")
+    counted = lambda x, n: x.where("kind = 2").select("hash", F.col(n).cast("long").alias("n"))
+    hot_anchors = staged(doubling.hot_keys(counted(found, "pos"), hot, max_hot), "hot")
+    flagged = found.where("kind = 0").join(F.broadcast(hot_anchors), F.col("hash") == F.col("hot"), "left")
+    repeated = doubling.rerank(flagged, ["hash"], Placed, F.col("hot").isNotNull())
+
+    # the least document of each text, nulls first, and how many others there are
+    names = texts.select("doc_id", "content").distinct()
+    tokens = found.where("kind = 1").select("content", F.col("pos").alias("tokens")).distinct()
+    least_doc = names.groupBy("content").agg(F.min(F.struct("doc_id")).alias("least"), F.count(F.lit(1)).alias("docs"))
+    contents = staged(least_doc.join(tokens, "content").select("content", "least.doc_id", "docs", "tokens"), "texts")
+    per_text = repeated.groupBy("content").agg(F.collect_set("pos").alias("anchors")).join(contents.select("content", "doc_id"), "content")
+    numbered = staged(dense_ids(per_text, ["doc_id", "content"], "number"), "numbers")
+    n, n_anchors = numbered.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()
+    if n >= 1 << 35:
+        raise ValueError("2^35 texts or more have repeats")
+
+    side = numbered.select("number", F.col("content").alias("c"), F.col("doc_id").alias("d"), "anchors")
+    if 4 * n_anchors + 48 * n <= broadcast_bytes:
         side = F.broadcast(side)
-    chosen = texts.join(side, (F.col("seq") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("number", "anchors", "text")
-    run, schema = _ranks(threshold, start)
-    first_ranks = doubling.rerank(chosen.mapInArrow(run, schema), ["hash"], Numbered)
-    runs = doubling.later_runs(doubling.double(first_ranks, start, threshold, Numbered), threshold, Numbered)
-    names = numbered.select("number", "doc_id", "seq")
+    else:
+        texts = _among(texts, numbered.select("content"))
+    chosen = texts.join(side, (F.col("content") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("number", "anchors", "text")
+    run, schema = _ranks(threshold, start, least)
+    hashed = staged(chosen.mapInArrow(run, schema), "ranks")
+    hot_hashes = staged(doubling.hot_keys(counted(hashed, "at"), hot, max_hot), "hot")
+    flagged = hashed.where("kind = 0").join(F.broadcast(hot_hashes), F.col("hash") == F.col("hot"), "left")
+    hot_firsts = staged(flagged.where("hot IS NOT NULL").groupBy("hash").agg(F.min("at").alias("hot")).select("hot"), "hot")
+    ranks = doubling.rerank(flagged, ["hash"], Numbered, F.col("hot").isNotNull())
+    runs = staged(doubling.later_runs(doubling.double(ranks, start, threshold, Numbered, hot_firsts), threshold, Numbered), "runs")
+
+    by_number = numbered.select("number", "doc_id", "content")
     pos = lambda c: F.col(c).bitwiseAND(F.lit(Numbered.SPAN - 1)).cast("int")
-    return (
-        runs.join(names.withColumnRenamed("number", "sequence"), "sequence")
+    rows = (
+        runs.join(by_number.withColumnRenamed("number", "sequence"), "sequence")
         .withColumn("number", F.shiftright("first", 28))
-        .join(names.select("number", F.col("doc_id").alias("source_doc_id")), "number")
+        .join(by_number.select("number", F.col("doc_id").alias("source_doc_id")), "number")
         .select(
-            "doc_id", "seq", pos("start").alias("start_token"), pos("end").alias("end_token"),
+            "doc_id", F.col("content").alias("seq"), pos("start").alias("start_token"), pos("end").alias("end_token"),
             (F.col("end") - F.col("start") + 1).cast("int").alias("n_tokens"), "source_doc_id", pos("first").alias("source_token"),
         )
     )
+    # where the least document's first window is a copy, so are the first ones of all documents with this text
+    rows = staged(rows, "rows")
+    begun = rows.where("start_token = 0").select("seq", F.col("source_doc_id").alias("from_doc"), F.col("source_token").alias("from_token"))
+    copied = contents.where("docs > 1").select("content", F.col("doc_id").alias("least"), "tokens").join(begun, F.col("content") == F.col("seq"), "left").drop("seq")
+    copies = names.join(copied, "content").where(~F.col("doc_id").eqNullSafe(F.col("least"))).select(
+        "doc_id", F.col("content").alias("seq"), F.lit(0).alias("start_token"), (F.col("tokens") - 1).alias("end_token"), F.col("tokens").alias("n_tokens"),
+        F.when(F.col("from_token").isNull(), F.col("least")).otherwise(F.col("from_doc")).alias("source_doc_id"), F.coalesce("from_token", F.lit(0)).alias("source_token"),
+    )
+    return rows.unionByName(copies)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,12 +252,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_passages(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """docs with the later copies cut out of text, from first to last token; other columns and rows are unchanged."""
+    """docs with the later copies cut out of text, from first to last token; other columns and rows, those with null texts among them, are unchanged."""
     gone, key, of, row = (fresh(docs, c) for c in ("gone", "seq", "of", "row"))
     per_doc = staged(repeated_passages(docs, threshold).groupBy(F.col("doc_id").alias(of), F.col("seq").alias(key)).agg(F.collect_list(F.struct("start_token", "end_token")).alias(gone)), "passages")
     if per_doc.count() <= BROADCAST_DOCS:
         per_doc = F.broadcast(per_doc)
-    joined = docs.join(per_doc, (F.xxhash64("doc_id", "text") == F.col(key)) & docs["doc_id"].eqNullSafe(F.col(of)), "left")
+    joined = docs.join(per_doc, (F.xxhash64("text") == F.col(key)) & docs["doc_id"].eqNullSafe(F.col(of)), "left")
     whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias(row)
     rest = joined.where(F.col(gone).isNull()).select(*[docs[f"`{c}`"] for c in docs.columns])
     wide = joined.where(F.col(gone).isNotNull()).select("text", gone, whole)

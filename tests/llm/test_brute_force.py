@@ -119,6 +119,17 @@ def test_line_runs(spark, min_lines):
     assert rows == line_runs(texts, min_lines) != []
 
 
+@pytest.mark.parametrize("parameters", [{"hot": 2}, {"hot": 2, "max_hot": 3, "broadcast_bytes": 0}, {"broadcast_bytes": 0}])
+def test_passages_with_hot_keys_and_by_shuffle(spark, parameters):
+    """Equal texts, null and string ids, on both sides of every bound."""
+    texts = random_texts(9, 60, length=30)
+    texts = [(f"d{d:02}", t) for d, t in texts] + [(f"e{d:02}", t) for d, t in texts[:20]] + [(f"d{d:02}", t) for d, t in texts[3:6]]
+    docs = spark.createDataFrame([(None if d == "e07" else d, t) for d, t in texts], "doc_id string, text string")
+    got = passage_dedup.repeated_passages(docs, 6, **parameters).collect()
+    rows = sorted((r.doc_id or "", r.start_token, r.end_token, r.source_doc_id or "", r.source_token) for r in got)
+    assert rows == covered(sorted({("" if d == "e07" else d, t) for d, t in texts}), str.split, 6) != []
+
+
 def test_passages_are_cut(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     texts = [(1, f"Before, {passage}; after."), (2, f"<<{passage}!>> Ende ä"), (3, "clean")]
