@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Paths of the tables stored so far, by application.
+_stored: dict[str, list[str]] = {}
 #: Rows of two or three short columns that are sent to every executor at most.
 BROADCAST_ROWS = 1_000_000
 
@@ -38,14 +42,38 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read back: cuts lineage, and gives the planner exact sizes.
 
-    Meant for intermediate tables that are far smaller than the corpus.
+    Meant for intermediate tables that are far smaller than the corpus.  They stay until release() or the end of temporary().
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
+    _stored.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a table's folder."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(spark: SparkSession, first: int = 0) -> None:
+    """Deletes the tables that staged() has stored, from the one with this number on; for when what was made from them is written."""
+    paths = _stored.get(spark.sparkContext.applicationId, [])
+    while len(paths) > first:
+        remove(spark, paths.pop())
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at the end, by when everything made from them has to be written."""
+    first = len(_stored.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release(spark, first)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df, a stored table, marked for broadcast if it has at most so many rows; else it is joined as the planner sees fit."""
     return F.broadcast(df) if df.count() <= rows else df
