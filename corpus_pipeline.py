@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.functions.shared import remove, shared_path, spread, temporary
 from tessera.llm import decontaminate, jaccard, line_dedup, mixing, quality
-from tessera.llm.common import shared_path
 from tessera.llm.queries import ORACLES, mixing_sql
 
 
@@ -44,12 +44,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The stages applied to documents, each written to the shared folder and read again; what a stage no longer needs is deleted."""
+    docs, before = spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), None
     for name, stage in STAGES:
         path = shared_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return docs
 
 
