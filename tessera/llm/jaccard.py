@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ HOT, MAX_HOT = 50_000, 1_000_000
 GATHERED = 1_000_000
 #: Contents in a block of comparisons.
 BLOCK = 1024
+#: Edges of the graph of similar contents that the driver takes at most.
+DRIVER_EDGES = 1_000_000
 #: Ids are broadcast up to so many, and joined by shuffle beyond.
 BROADCAST_IDS = 4_000_000
 _U = np.uint64
@@ -459,13 +462,25 @@ def similar_documents(
     return rows.join(names, "root").groupBy(F.col("doc").alias("doc_id")).agg(F.min("class_id").alias("class_id"), F.sum("links").alias("n_links")).where("n_links > 0")
 
 
-def groups(pairs: DataFrame) -> DataFrame:
-    """(doc, least): every document of the pairs with the least doc_id of its connected group.
+def groups(pairs: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+    """(doc, least): every document of the pairs but the least of its connected group, with that one.
 
-    Alternates large-star and small-star steps (Kiveris et al. 2014) until nothing
+    Up to driver_edges different pairs are connected by the driver, which saves dozens of small jobs.  More of them are connected where they are:
+
+    this alternates large-star and small-star steps (Kiveris et al. 2014) until nothing
     changes, each a groupBy; the rounds grow with the logarithm of the longest chain.
     """
     edges = staged(pairs.select(F.greatest("doc_a", "doc_b").alias("u"), F.least("doc_a", "doc_b").alias("v")).where("u <> v").distinct(), "edges")
+    if edges.count() <= driver_edges:
+        table = edges.toArrow()
+        u, v = (table.column(c).combine_chunks() for c in ("u", "v"))
+        nodes = pa.concat_arrays([u, v]).unique()
+        nodes = nodes.take(pa.compute.sort_indices(nodes))
+        a, b = (pa.compute.index_in(x, nodes).to_numpy().astype(np.int64) for x in (u, v))
+        root = _components(len(nodes), a, b)
+        other = np.flatnonzero(root != np.arange(len(nodes)))
+        found = pa.table({"doc": nodes.take(pa.array(other)), "least": nodes.take(pa.array(root[other]))})
+        return edges.sparkSession.createDataFrame(found, f"doc {edges.dtypes[0][1]}, least {edges.dtypes[0][1]}")
     before = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
