@@ -7,6 +7,7 @@ notices; around every hit the regex library's bounded-error matching decides, an
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -47,31 +48,60 @@ def edits(notice: str, chars_per_edit: int = CHARS_PER_EDIT) -> int:
     return max(1, len(notice) // chars_per_edit)
 
 
-_BLANKS = regex.compile(r"\s{2,}|[^\S ]")
+_BLANKS = re.compile(r"\s+")
 
 
-def plain(text: str) -> tuple[str, list[int], list[int]]:
-    """Lower case with one space for a run of white space; and, for places in it, where a shift begins and how far the text's place is ahead."""
+def plain(text: str) -> str:
+    """Lower case with one space for a run of white space, none at the ends; otherwise every character has its place."""
     low = text.lower()
     if len(low) != len(text):
         low = "".join(c if len(x := c.lower()) != 1 else x for c in text)
-    out, at, shift, begins, shifts = [], 0, 0, [0], [0]
-    for m in _BLANKS.finditer(low):
-        out.append(low[at : m.start()])
-        at = m.end()
+    return " ".join(low.split())
+
+
+def shifts(text: str) -> tuple[list[int], list[int]]:
+    """For places in plain(text), where a shift begins, and how far the text's place is ahead from there on."""
+    ahead = len(text) - len(text.lstrip())
+    begins, out = [0], [ahead]
+    for m in _BLANKS.finditer(text, ahead):
         if (n := m.end() - m.start()) > 1:
-            begins.append(m.start() + 1 - shift)
-            shift += n - 1
-            shifts.append(shift)
-    return " ".join([*out, low[at:]]), begins, shifts
+            begins.append(m.start() + 1 - ahead)
+            ahead += n - 1
+            out.append(ahead)
+    return begins, out
+
+
+def places(notice: str) -> tuple[int, dict[str, int]]:
+    """What reaches() needs of a notice: its length, and for each character a bit wherever it stands."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(notice):
+        out[c] = out.get(c, 0) | 1 << i
+    return len(notice), out
+
+
+def reaches(n: int, at: dict[str, int], k: int, text: str) -> bool:
+    """Whether some part of the text is within k edits of the notice: a column of the edit distances in each step, as bits (Myers 1999)."""
+    full, high = (1 << n) - 1, 1 << (n - 1)
+    up, down, score = full, 0, n
+    for c in text:
+        eq = at.get(c, 0)
+        x = (((eq & up) + up) ^ up) | eq
+        right, left = down | ~(x | up) & full, up & x
+        score += 1 if right & high else -1 if left & high else 0
+        if score <= k:
+            return True
+        right, left = right << 1 & full, left << 1 & full
+        up, down = left | ~((eq | down) | right) & full, right & (eq | down)
+    return False
 
 
 class Finder:
     def __init__(self, notices=NOTICES, chars_per_edit: int = CHARS_PER_EDIT):
-        self.notices, self.patterns, pieces = notices, [], {}
+        self.notices, self.patterns, self.places, pieces = notices, [], [], {}
         for i, (_, notice) in enumerate(notices):
-            s, k = plain(notice)[0], edits(notice, chars_per_edit)
-            self.patterns.append((len(s), k, regex.compile(f"(?b)(?:{regex.escape(s, literal_spaces=True)}){{e<={k}}}")))
+            s, k = plain(notice), edits(notice, chars_per_edit)
+            self.places.append(places(s))
+            self.patterns.append((s, k, regex.compile(f"(?b)(?:{regex.escape(s, literal_spaces=True)}){{e<={k}}}")))
             cuts = [round(j * len(s) / (k + 1)) for j in range(k + 2)]
             for a, b in zip(cuts, cuts[1:]):
                 pieces.setdefault(s[a:b], []).append((i, a, b - a))
@@ -82,21 +112,25 @@ class Finder:
 
     def __call__(self, text: str) -> list[tuple[int, int, int, int]]:
         """(start, end, notice, edits) without overlaps: of two that overlap, the one with fewer edits stays, then the longer, then the earlier notice."""
-        s, begins, shifts = plain(text)
+        s = plain(text)
         # one window for each place that a piece puts the notice at; it has room for one occurrence
-        windows = set()
+        windows, hits = set(), set()
         for end, where in self.seeds.iter(s):
             for i, offset, size in where:
-                n, k, _ = self.patterns[i]
+                notice, k, _ = self.patterns[i]
                 start = end + 1 - size - offset
-                windows.add((i, max(0, start - k), min(len(s), start + n + k)))
-        hits = set()
+                if s.startswith(notice, max(0, start)):
+                    hits.add((0, -len(notice), i, max(0, start), max(0, start) + len(notice)))
+                else:
+                    windows.add((i, max(0, start - k), min(len(s), start + len(notice) + k)))
         for i, a, b in windows:
-            n, k, pattern = self.patterns[i]
-            if b - a >= n - k and (m := pattern.search(s, a, b)) and m.end() > m.start():
+            notice, k, pattern = self.patterns[i]
+            if reaches(*self.places[i], k, s[a:b]) and (m := pattern.search(s, a, b)) and m.end() > m.start():
                 hits.add((sum(m.fuzzy_counts), m.start() - m.end(), i, m.start(), m.end()))
-        chosen = Apart()
-        place = lambda x: x + shifts[bisect_right(begins, x) - 1]
+        if not hits:
+            return []
+        chosen, (begins, ahead) = Apart(), shifts(text)
+        place = lambda x: x + ahead[bisect_right(begins, x) - 1]
         # a span ends behind its last character, not where white space after it ends
         return sorted((place(a), place(b - 1) + 1, i, e) for e, _, i, a, b in sorted(hits) if chosen.add(a, b))
 
