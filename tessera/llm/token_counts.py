@@ -131,7 +131,8 @@ def count_tokens(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN, ho
     """(doc_id, n_tokens) of every doc_id of docs; ranks is a tiktoken rank file that the driver reads.
 
     Null and empty texts have 0 tokens.  Rows with the same doc_id are added up, those with a null
-    doc_id as well.  Strings of special tokens are ordinary text.
+    doc_id as well.  Strings of special tokens are ordinary text.  A text is counted whole; one of more than LONG characters is cut one pre-token at a
+    time, and a pre-token of any length is encoded as one.  An empty table has no rows.
     """
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
