@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import staged
 
 
 class Named:
@@ -97,10 +98,12 @@ def double(positions: DataFrame, size: int, threshold: int, kind=Named, hot: Dat
     while size < threshold:
         step = min(size, threshold - size)
         ahead = Window.partitionBy(*kind.sequence).orderBy(kind.pos).rangeBetween(step, step)
-        pairs = _with_sequence(positions, kind).withColumn("then", F.min("first").over(ahead)).where("then IS NOT NULL")
+        pairs = _with_sequence(positions, kind).withColumn("then", F.min("first").over(ahead)).where("then IS NOT NULL").select(*kind.columns, "first", "then")
         flag = None
         if hot is not None:
-            pairs, flag, hot = pairs.join(F.broadcast(hot), F.col("first") == F.col("hot"), "left"), F.col("hot").isNotNull(), None
+            # read in several ways where some are hot
+            pairs, flag = marked(pairs if hot.isEmpty() else staged(pairs, "pairs"), "first", hot)
+            hot = None
         positions = rerank(pairs, ["first", "then"], kind, flag)
         size += step
     return positions
@@ -112,6 +115,13 @@ def hot_keys(counted: DataFrame, least: int, most: int) -> DataFrame:
     return total.orderBy(F.desc("n"), "hash").limit(most).select(F.col("hash").alias("hot"))
 
 
+def marked(rows: DataFrame, key: str, hot: DataFrame) -> tuple[DataFrame, Column]:
+    """rows, and whether their key is in hot(hot), a stored table."""
+    if hot.isEmpty():
+        return rows, F.lit(False)
+    return rows.join(F.broadcast(hot), F.col(key) == F.col("hot"), "left"), F.col("hot").isNotNull()
+
+
 def later_runs(positions: DataFrame, threshold: int, kind=Named) -> DataFrame:
     """(sequence, start, end, first): maximal stretches of items, end included, that lie within later copies.
 

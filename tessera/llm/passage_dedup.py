@@ -185,8 +185,8 @@ def repeated_passages(
     found = staged(texts.select("content", "text").mapInArrow(run, schema), "anchors")
     counted = lambda x, n: x.where("kind = 2").select("hash", F.col(n).cast("long").alias("n"))
     hot_anchors = staged(doubling.hot_keys(counted(found, "pos"), hot, max_hot), "hot")
-    flagged = found.where("kind = 0").join(F.broadcast(hot_anchors), F.col("hash") == F.col("hot"), "left")
-    repeated = doubling.rerank(flagged, ["hash"], Placed, F.col("hot").isNotNull())
+    rows, is_hot = doubling.marked(found.where("kind = 0"), "hash", hot_anchors)
+    repeated = doubling.rerank(rows, ["hash"], Placed, is_hot)
 
     # the least document of each text, nulls first, and how many others there are
     names = texts.select("doc_id", "content").distinct()
@@ -208,9 +208,9 @@ def repeated_passages(
     run, schema = _ranks(threshold, start, least)
     hashed = staged(chosen.mapInArrow(run, schema), "ranks")
     hot_hashes = staged(doubling.hot_keys(counted(hashed, "at"), hot, max_hot), "hot")
-    flagged = hashed.where("kind = 0").join(F.broadcast(hot_hashes), F.col("hash") == F.col("hot"), "left")
-    hot_firsts = staged(flagged.where("hot IS NOT NULL").groupBy("hash").agg(F.min("at").alias("hot")).select("hot"), "hot")
-    ranks = doubling.rerank(flagged, ["hash"], Numbered, F.col("hot").isNotNull())
+    rows, is_hot = doubling.marked(hashed.where("kind = 0"), "hash", hot_hashes)
+    hot_firsts = staged(rows.where(is_hot).groupBy("hash").agg(F.min("at").alias("hot")).select("hot"), "hot")
+    ranks = doubling.rerank(rows, ["hash"], Numbered, is_hot)
     runs = staged(doubling.later_runs(doubling.double(ranks, start, threshold, Numbered, hot_firsts), threshold, Numbered), "runs")
 
     by_number = numbered.select("number", "doc_id", "content")
