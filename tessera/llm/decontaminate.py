@@ -40,6 +40,7 @@ def _schema(texts: DataFrame) -> str:
     return f"doc {texts.schema['doc'].dataType.simpleString()}, pos int, term long"
 
 
+@kernel.tidied
 def _all_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, text, offsets in kernel.chunks(batch.column(1)):
@@ -87,6 +88,7 @@ def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
     if sent is None:
         return texts.mapInArrow(_all_tokens, _schema(texts)).join(terms, "term", "left_semi").select("doc", "pos", "term")
 
+    @kernel.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = membership(sent.value)
         for batch in batches:
@@ -104,6 +106,7 @@ def frequencies(texts: DataFrame, terms: DataFrame) -> DataFrame:
         counted = texts.mapInArrow(_all_tokens, _schema(texts)).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("cf"))
     else:
 
+        @kernel.tidied
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find = membership(sent.value)
             for batch in batches:

@@ -109,6 +109,7 @@ def _contents(n: int, least: int):
         g, count = kernel.often(grams, contents, least)
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(g), -1)), pa.array(g.view(np.int64)), pa.array(count.astype(np.int32))], names=["row", "content", "size"])
 
+    @kernel.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()
         held, grams, contents = 0, [], 0
@@ -200,6 +201,7 @@ def _by_gram(n: int, parts: int, hot):
                         "low": b"", "extra": hot_grams[ranges(begins[mine], n_hot[mine])].tobytes()})
         yield from _table(out).to_batches()
 
+    @kernel.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held, gathered = set(), 0, []
         known = hot.value[0]

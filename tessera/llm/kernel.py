@@ -10,7 +10,9 @@ to lower case, which for Latin text equals ``lower()``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,25 @@ _STEP = U(0xD6E8FEB86659FD93)
 CHUNK_BYTES = 1 << 21
 
 
+def tidy() -> None:
+    """Gives unused memory back to the system; Spark keeps Python workers for later stages, which need not pay for it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidied(run: Callable) -> Callable:
+    """A function of batches that tidies up behind its last one."""
+
+    @functools.wraps(run)
+    def tidy_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidy()
+
+    return tidy_run
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, U)
     out[:1] = 1
