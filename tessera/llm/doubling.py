@@ -109,6 +109,69 @@ def double(positions: DataFrame, size: int, threshold: int, kind=Named, hot: Dat
     return positions
 
 
+def levels(ranks: DataFrame, threshold: int) -> list[tuple[int, DataFrame]]:
+    """(size, ranks), stored, for Named positions: from ranks of single items on, doubled until nothing repeats; threshold is one of the sizes.
+
+    Each position is there once, so joins by position do not multiply repeated rows.
+    """
+    out = [(1, staged(ranks.distinct(), "ranks"))]
+    while True:
+        size, last = out[-1]
+        more = min(2 * size, threshold) if size < threshold else 2 * size
+        ranks = staged(double(last, size, more), "ranks")
+        if ranks.isEmpty():
+            return out
+        out.append((more, ranks))
+
+
+def longest(ranked: list[tuple[int, DataFrame]], least: int) -> DataFrame:
+    """(position, length, first): the longest prefix from a position on that begins earlier too, if it has `least` items, one of the sizes of levels().
+
+    first is the earliest position of that prefix.  The positions with one (length, first), and first itself, are an interval of the
+    suffix array with that common prefix, each subinterval of a longer one being there as its first position only.  A position
+    enters at the largest size at which it is a later copy; then the sizes below are added from the largest one down, wherever that
+    leaves it a later copy, which comes to the length as no size is more than twice the one below.
+    """
+    found = longer = None
+    for size, ranks in reversed(ranked):
+        if found is not None:
+            found = staged(_lengthened(found, size, ranks), "lengths")
+        if size >= least:
+            later = ranks.where(Named.here() != F.col("first"))
+            enter = later if longer is None else later.join(longer, ["seq", "pos"], "left_anti")
+            enter = enter.select(*Named.columns, F.lit(size).alias("length"), "first")
+            found = enter if found is None else found.unionByName(enter)
+            longer = later.select("seq", "pos")
+    if found is None:
+        return ranked[0][1].where("false").select(*Named.columns, F.lit(0).alias("length"), "first")
+    return found
+
+
+def _lengthened(found: DataFrame, size: int, ranks: DataFrame) -> DataFrame:
+    """found, with `size` more items where those repeat as well within the same interval; ranks are those at size."""
+    sources = found.select("length", "first").distinct().select("first.doc_id", "first.seq", "first.pos", "length", "first")
+    ahead = ranks.select(F.col("seq").alias("__seq"), F.col("pos").alias("__pos"), F.col("first").alias("then"))
+    pairs = staged(
+        found.unionByName(sources)
+        .join(ahead, (F.col("seq") == F.col("__seq")) & (F.col("pos") + F.col("length") == F.col("__pos")), "left")
+        .select(*Named.columns, "length", "first", "then"),
+        "pairs",
+    )
+    key = ["length", "first", "then"]
+    least = pairs.where("then IS NOT NULL").groupBy(*key).agg(F.min(Named.here()).alias("__least"), F.max(Named.here()).alias("__last")).where("__least <> __last")
+    keyed = least.select(*[F.col(k).alias(f"__{k}") for k in key], "__least")
+    more = F.col("__least") != Named.here()
+    return (
+        pairs.where(Named.here() != F.col("first"))
+        .join(keyed, [F.col(k) == F.col(f"__{k}") for k in key], "left")
+        .select(
+            *Named.columns,
+            F.when(more, F.col("length") + size).otherwise(F.col("length")).alias("length"),
+            F.when(more, F.col("__least")).otherwise(F.col("first")).alias("first"),
+        )
+    )
+
+
 def hot_keys(counted: DataFrame, least: int, most: int) -> DataFrame:
     """(hot): the hashes whose counts in counted(hash, n) come to `least`; of more than `most` of them the most frequent ones."""
     total = counted.groupBy("hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least)

@@ -1,12 +1,11 @@
 """Removal of repeated runs of lines.
 
 The corpus is a set of sequences of line ids.  Prefix doubling (see
-``doubling``) groups the positions whose next ``min_lines`` lines agree; these
-are the intervals of the suffix array with a common prefix of at least
-that many lines.  Of every interval the earliest position, by doc_id and then line, is
-the original; the others begin later copies.  One more round, to min_lines + 1, tells which neighbouring copies
-belong together: copies that begin at lines i and i + 1 are of one run if the min_lines + 1 lines from i on occur earlier as they
-stand.  So copies from different places that merely touch remain runs of their own.
+``doubling``) ranks the positions at 1, 2, 4 ... lines, min_lines among them, until nothing repeats.  The ranks give the intervals of the suffix
+array by their longest common prefix, and so for every position the longest stretch of lines from there on that also begins earlier,
+by doc_id and then line, and where.  Such stretches that reach beyond the one of the line before are the maximal runs, each a copy of one source as a
+whole.  Maximal runs with min_lines or more lines in common are reported and removed as one; copies from different places
+that merely touch remain runs of their own.
 """
 
 from __future__ import annotations
@@ -40,21 +39,51 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int =
     Where copies overlap within a document, as in one line repeated over and over, all but
     the first occurrence go.
     """
+    ranked = _ranked(docs, min_lines)
+    in_doc = Window.partitionBy("doc_id", "seq").orderBy("start")
+    opens = F.coalesce(F.col("start") > F.lag("end").over(in_doc) - (min_lines - 1), F.lit(True))
+    runs = (
+        _maximal(ranked, min_lines)
+        .withColumn("run", opens.cast("int"))
+        .withColumn("run", F.sum("run").over(in_doc))
+        .groupBy("doc_id", "seq", "run")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    )
+    firsts = dict(ranked).get(min_lines, ranked[0][1]).select(F.col("seq").alias("s"), F.col("pos").alias("p"), "first")
+    named = runs.join(firsts, (F.col("seq") == F.col("s")) & (F.col("start") == F.col("p")))
+    return _measured(docs, named.select("doc_id", "seq", "start", "end", "first"), min_chars)
+
+
+def maximal_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:
+    """As repeated_runs, but a run occurs as a whole at its source, the earliest such place, and is part of no longer one.
+
+    Runs that have lines in common stay apart, and each has min_chars by itself.
+    """
+    return _measured(docs, _maximal(_ranked(docs, min_lines), min_lines), min_chars)
+
+
+def _ranked(docs: DataFrame, min_lines: int) -> list[tuple[int, DataFrame]]:
+    """The ranks of all lines by size, see doubling.levels."""
     lines = docs.select(
         "doc_id", sequence().alias("seq"), F.posexplode(F.split("text", "\n")).alias("pos", "line")
     ).select("doc_id", "seq", "pos", F.xxhash64("line").alias("a"), F.xxhash64(F.lit(7), "line").alias("b"))
-    ranks = doubling.double(doubling.rerank(lines, ["a", "b"]), 1, min_lines)
-    copies = staged(ranks, "line-ranks")
-    longer = doubling.double(copies, min_lines, min_lines + 1)
-    later = lambda x: x.where(doubling.Named.here() != F.col("first"))
-    goes_on = later(longer).select(F.col("seq").alias("s"), (F.col("pos") + 1).alias("p"))
-    starts = later(copies).join(goes_on, (F.col("seq") == F.col("s")) & (F.col("pos") == F.col("p")), "left")
-    in_doc = Window.partitionBy("doc_id", "seq").orderBy("pos")
-    runs = (
-        starts.withColumn("run", F.sum(F.col("s").isNull().cast("int")).over(in_doc))
-        .groupBy("doc_id", "seq", "run")
-        .agg(F.min("pos").alias("start"), (F.max("pos") + (min_lines - 1)).cast("int").alias("end"), F.min_by("first", "pos").alias("first"))
+    return doubling.levels(doubling.rerank(lines, ["a", "b"]), min_lines)
+
+
+def _maximal(ranked: list[tuple[int, DataFrame]], min_lines: int) -> DataFrame:
+    """(doc_id, seq, start, end, first) of the maximal runs."""
+    in_doc = Window.partitionBy("doc_id", "seq").orderBy("start")
+    return (
+        doubling.longest(ranked, min_lines)
+        .select("doc_id", "seq", F.col("pos").alias("start"), (F.col("pos") + F.col("length") - 1).alias("end"), "first")
+        .withColumn("before", F.lag("end").over(in_doc))
+        .where("before IS NULL OR before < end")
+        .drop("before")
     )
+
+
+def _measured(docs: DataFrame, runs: DataFrame, min_chars: int) -> DataFrame:
+    """runs(doc_id, seq, start, end, first) that have min_chars, with lengths, as repeated_runs gives them."""
     lengths = (
         docs.select("doc_id", sequence().alias("seq"), F.transform(F.split("text", "\n"), F.length).alias("sizes"))
         .where("sizes IS NOT NULL")

@@ -32,6 +32,11 @@ def op2_single_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.repeated_runs(table(spark, sf_dir, "documents"), min_lines=1).drop("seq")
 
 
+def op2_maximal_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As op2_line_dedup, but runs that occur at their sources as wholes; those that overlap are not joined."""
+    return line_dedup.maximal_runs(table(spark, sf_dir, "documents")).drop("seq")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ablations": op8_ablations,
     "op2_line_dedup": op2_line_dedup,
     "op2_single_lines": op2_single_lines,
+    "op2_maximal_runs": op2_maximal_runs,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op4_decontamination": op4_decontamination,
     "op1_mixing": op1_mixing,
@@ -202,6 +208,19 @@ ORACLES: dict[str, str] = {
     "op8_ablations": _LEDGER + _ABLATIONS,
     "op2_line_dedup": _line_runs(2),
     "op2_single_lines": _line_runs(1),
+    "op2_maximal_runs": f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos
+  FROM documents),
+p AS (SELECT a.doc_id, a.pos, b.doc_id AS sd, b.pos AS sl FROM l a JOIN l b ON a.line = b.line AND (b.doc_id < a.doc_id OR b.doc_id = a.doc_id AND b.pos < a.pos)),
+s AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id, sd, pos - sl ORDER BY pos) AS stretch FROM p),
+e AS (SELECT *, max(pos) OVER (PARTITION BY doc_id, sd, pos - sl, stretch) AS e FROM s),
+f AS (SELECT doc_id, pos, min(struct_pack(back := -e, sd := sd, sl := sl)) AS f FROM e GROUP BY doc_id, pos),
+m AS (SELECT * FROM f QUALIFY coalesce(lag(f.back) OVER (PARTITION BY doc_id ORDER BY pos) > f.back, true))
+SELECT m.doc_id, m.pos::INT AS start_line, (-f.back)::INT AS end_line, (1 - f.back - m.pos)::INT AS n_lines, sum(length(line))::INT AS n_chars,
+  f.sd AS source_doc_id, f.sl::INT AS source_line
+FROM m JOIN l ON l.doc_id = m.doc_id AND l.pos BETWEEN m.pos AND -f.back
+WHERE 1 - f.back - m.pos >= {line_dedup.MIN_LINES} GROUP BY m.doc_id, m.pos, f HAVING sum(length(line)) >= {line_dedup.MIN_CHARS}""",
     "op7_ngram_jaccard": f"""
 WITH RECURSIVE t AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE text IS NOT NULL),
 g AS (
