@@ -14,6 +14,7 @@ FOLDER = f"{compare.DATA}/sf0.001"
 MOST = {
     "bm25_stemmed": 1.25,  # 1.30
     "bm25_stored_index": 2,  # 2.64
+    "bm25_alpha": 0.6,  # 2.72
 }
 
 
