@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.shared import staged
 from .numbering import dense_ids
 
 
@@ -54,9 +55,10 @@ def gaps(postings: DataFrame, block: int = LIST_BLOCK) -> DataFrame:
     """(term, at, tf, gap): gap is the docid less the term's one before, the docid itself for the first; at counts a term's list from 1.
 
     A list is worked on in blocks of docids, so that no task holds the list of a word that is everywhere: each block
-    goes on from the last docid and the number of entries of the blocks before.
+    goes on from the last docid and the number of entries of the blocks before.  Postings are stored, for they are read for
+    the blocks and again for the lists.
     """
-    placed = postings.select("term", "docid", "tf", F.floor(F.col("docid") / block).alias("block"))
+    placed = staged(postings.select("term", "docid", "tf"), "postings").withColumn("block", F.floor(F.col("docid") / block))
     blocks = placed.groupBy("term", "block").agg(F.max("docid").alias("last"), F.count(F.lit(1)).alias("n"))
     blocks = _before(_before(blocks, F.max("last"), "base"), F.sum("n"), "ahead").select("term", "block", "base", "ahead")
     within = Window.partitionBy("term", "block").orderBy("docid")
@@ -65,8 +67,8 @@ def gaps(postings: DataFrame, block: int = LIST_BLOCK) -> DataFrame:
 
 
 def from_gaps(delta: DataFrame, block: int = LIST_BLOCK) -> DataFrame:
-    """(term, docid, tf) from gaps, in blocks of entries."""
-    placed = delta.select("term", "at", "gap", "tf", F.floor(F.col("at") / block).alias("block"))
+    """(term, docid, tf) from gaps, in blocks of entries; the gaps are stored."""
+    placed = staged(delta.select("term", "at", "gap", "tf"), "gaps").withColumn("block", F.floor(F.col("at") / block))
     blocks = _before(placed.groupBy("term", "block").agg(F.sum("gap").alias("sum")), F.sum("sum"), "base").select("term", "block", "base")
     running = Window.partitionBy("term", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     rows = placed.withColumn("sum", F.sum("gap").over(running)).join(blocks, ["term", "block"])
