@@ -25,6 +25,7 @@ MOST = {
     "stream_segments": 1.8,  # 2.56
     "index_bytes": 2.8,  # 3.11
     "merge_segments": 0.1,  # 1.02
+    "postings_delta": 2.5,  # 3.91
 }
 
 
