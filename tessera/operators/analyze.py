@@ -21,13 +21,37 @@ def word_list(lines: DataFrame, column: str = "value", stem: bool = True) -> Dat
     return terms.select(F.when(weights, F.regexp_extract("term", X.WORD, 0)).otherwise(F.col("term")).alias("term")).distinct()
 
 
-def stem_terms(terms: DataFrame) -> DataFrame:
-    """terms with `term` stemmed by way of the distinct terms; math tuples stay as they are."""
-    distinct = terms.where(~X.is_tuple(F.col("term"))).select(F.col("term").alias("plain")).distinct()
+#: Distinct terms whose stems are sent to every executor at most, the most frequent ones.
+COMMON_TERMS = 200_000
+
+
+def stem_terms(terms: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    """terms with `term` stemmed by way of the distinct terms; math tuples stay as they are.  With keep(term), only these stems and tuples are left.
+
+    Stems of the common terms are broadcast, so that only occurrences of the others are shuffled to a join.
+    """
+    tuples = X.is_tuple(F.col("term"))
+    counts = terms.where(~tuples).groupBy(F.col("term").alias("plain")).agg(F.floor(F.log2(F.count(F.lit(1)))).cast("int").alias("power"))
     # stored: a condition on the stem would otherwise be pushed through all steps, and grow with each
-    stems = staged(porter.stem(distinct, "plain", "stem"), "stems")
-    joined = terms.join(stems, F.col("term") == F.col("plain"), "left")
-    return joined.withColumn("term", F.coalesce("stem", "term")).drop("plain", "stem")
+    stems = staged(porter.stem(counts, "plain", "stem"), "stems")
+    if keep is not None:
+        stems = staged(stems.join(keep.select(F.col("term").alias("stem")), "stem", "left_semi"), "stems")
+    room, least = COMMON_TERMS, 64  # common are the terms that occur 2^least times or more
+    for power, n in sorted(stems.groupBy("power").count().collect(), reverse=True):
+        room -= n
+        if room < 0:
+            break
+        least = power
+    common = F.broadcast(stems.where(F.col("power") >= least).select("plain", "stem"))
+    joined = terms.join(common, F.col("term") == F.col("plain"), "left")
+    if room < 0 or keep is not None:
+        joined = joined.where(F.col("stem").isNotNull() | tuples)
+    out = joined.withColumn("term", F.coalesce("stem", "term")).drop("plain", "stem")
+    if room >= 0:
+        return out
+    rare = stems.where(F.col("power") < least).select("plain", "stem")
+    rest = terms.where(~tuples).join(common, F.col("term") == F.col("plain"), "left_anti").join(rare, F.col("term") == F.col("plain"))
+    return out.unionByName(rest.withColumn("term", F.col("stem")).drop("plain", "stem"))
 
 
 @dataclass(frozen=True)
@@ -47,10 +71,10 @@ class Analyzer:
         """(key, pos, term) of docs; other columns are dropped."""
         out = docs.select(F.col(key), F.posexplode(X.words(F.col(column), self.math)).alias("pos", "term"))
         if self.stem:
-            out = stem_terms(out)
+            out = stem_terms(out, self.keywords)
         if self.stopwords is not None:
             out = out.join(self.stopwords.select("term"), "term", "left_anti")
-        if self.keywords is not None:
+        if self.keywords is not None and not self.stem:
             listed = self.keywords.select(F.col("term").alias("listed"))
             out = out.join(listed, F.col("term") == F.col("listed"), "left").where(F.col("listed").isNotNull() | X.is_tuple(F.col("term"))).drop("listed")
         return out.select(key, "pos", "term")

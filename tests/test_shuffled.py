@@ -49,6 +49,30 @@ def test_few_rows_are_shuffled(spark, postings, name):
     assert _shuffled(spark) - before <= MOST[name] * postings
 
 
+@pytest.mark.parametrize("name", ["stemmed_lines"])
+def test_tokens_are_not_shuffled_to_their_stems(spark, name):
+    """Where the planner would not broadcast the stems by itself, as is so for a large vocabulary."""
+    tokens = registry.stopword_filter(spark, FOLDER).count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        before = _shuffled(spark)
+        registry.QUERIES[name](spark, FOLDER).write.format("noop").mode("overwrite").save()
+        assert _shuffled(spark) - before < tokens
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rare_terms_are_stemmed_as_common_ones_are(spark, monkeypatch):
+    terms = spark.createDataFrame([(i, w) for i, w in enumerate("cats cats running running running flies #(cats)# relational the cats é".split())], "pos int, term string")
+    keep = spark.createDataFrame([("cat",), ("run",)], "term string")
+    want, kept = sorted(analyze.stem_terms(terms).collect()), sorted(analyze.stem_terms(terms, keep).collect())
+    assert [r.term for r in want] == "cat cat run run run fli #(cats)# relat the cat é".split()
+    assert [r.pos for r in kept] == [0, 1, 2, 3, 4, 6, 9]
+    for n in (0, 2):
+        monkeypatch.setattr(analyze, "COMMON_TERMS", n)
+        assert sorted(analyze.stem_terms(terms).collect()) == want and sorted(analyze.stem_terms(terms, keep).collect()) == kept
+
+
 def test_words_need_no_regular_expression(spark):
     plan = spark.createDataFrame([("a b",)], "t string").select(X.words(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp" not in plan
