@@ -51,7 +51,7 @@ def test_few_rows_are_shuffled(spark, postings, name):
     assert _shuffled(spark) - before <= MOST[name] * postings
 
 
-@pytest.mark.parametrize("name", ["stemmed_lines"])
+@pytest.mark.parametrize("name", ["stemmed_lines", "keyword_filter"])
 def test_tokens_are_not_shuffled_to_their_stems(spark, name):
     """Where the planner would not broadcast the stems by itself, as is so for a large vocabulary."""
     tokens = registry.stopword_filter(spark, FOLDER).count()
